@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from echolith.llm import url_filter
 from echolith.llm.secret_scan import op10_secret_scans
+from echolith.llm.simhash_dedup import op5_simhash_dedup
 from echolith.llm.token_counts import op3_token_counts
+from echolith.llm.url_filter import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op10_secret_scans)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simhash_dedup, op6_url_filter, op10_secret_scans)}
+ORACLES = {"op6_url_filter": url_filter.ORACLE}
