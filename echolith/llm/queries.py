@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from echolith.llm import url_filter
+from echolith.llm import source_mix, url_filter
 from echolith.llm.secret_scan import op10_secret_scans
 from echolith.llm.simhash_dedup import op5_simhash_dedup
+from echolith.llm.source_mix import op2_source_mix
 from echolith.llm.token_counts import op3_token_counts
 from echolith.llm.url_filter import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simhash_dedup, op6_url_filter, op10_secret_scans)}
-ORACLES = {"op6_url_filter": url_filter.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_token_counts, op5_simhash_dedup, op6_url_filter, op10_secret_scans)}
+ORACLES = {"op2_source_mix": source_mix.ORACLE, "op6_url_filter": url_filter.ORACLE}
