@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolith.llm.common import durable, table, words
+from echolith.llm.common import table, words
 
 MOST_ROWS = 20_000
 
@@ -152,19 +152,42 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 5 == 0, F.lit(False))
 
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> Model:
+    """A model from at most ``most_rows`` labelled rows, chosen by a hash of their id.
+
+    Their ids, of that bounded number, are broadcast; statistics are worked out for their texts alone.
+    """
+    labelled = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    chosen = labelled.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    names = list(statistics(F.lit("")))
+    known = sorted(described(texts, "_text").select("_keep._y", *names).collect())
+    x = np.array([r[1:] for r in known], float).reshape(len(known), len(names))
+    return fit(x, np.array([r[0] for r in known], float), names)
+
+
+def described(docs: DataFrame, text_col: str) -> DataFrame:
+    """``_keep``, a struct of all columns of ``docs``, and the statistics of the text."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_keep"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")).withColumn("_w", words(F.col("_text")))
+    return whole.select("_keep", *(c.alias(n) for n, c in statistics(F.col("_text")).items()))
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``_keep``, a struct of all columns of ``docs``, and ``_score``; one pass, no shuffle."""
+    return described(docs, text_col).select("_keep", model.column().alias("_score"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, most_rows: int = MOST_ROWS) -> DataFrame:
     """``id_col, held_out, score, predicted`` for every row of ``docs``."""
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_w", words(F.col("_text")))
-    described = statistics(F.col("_text"))
-    names = list(described)
-    known = durable(base.select("_id", *(c.alias(n) for n, c in described.items())))
-    learnt = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
-    sample = known.join(learnt, "_id").orderBy(F.xxhash64("_id"), "_id", *names).limit(most_rows).select("_y", *names).collect()
-    x = np.array([r[1:] for r in sample], float).reshape(len(sample), len(names))
-    model = fit(x, np.array([r[0] for r in sample], float), names)
-    score = model.column()
-    out = known.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), score.alias("score"))
-    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    model = train(docs, labels, id_col, text_col, label_col, most_rows)
+    out = scored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model, "_text").select(F.col("_keep._id").alias(id_col), F.col("_score").alias("score"))
+    return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    model = train(docs, labels, **how)
+    return scored(docs, model, how.get("text_col", "text")).where(F.col("_score") >= threshold).select("_keep.*")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolith.llm.common import durable, packed, rows, table
@@ -103,17 +103,37 @@ def links(nodes: DataFrame, fp: str = "_fp", distance: int = 4, segments: int =
     return a.join(b, meets & (F.bit_count(x) <= distance) & (F.shiftright(F.col("a.tag").cast("int"), 6) == first) & alone).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
+def rooted(prints: DataFrame, distance: int, segments: int, together: int) -> DataFrame:
+    """``_fp, _root`` for every distinct fingerprint; the root stands for its component."""
+    nodes = prints.select("_fp").distinct()
+    roots = components(links(nodes, "_fp", distance, segments, together), "a", "b")
+    return durable(nodes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", F.coalesce("root", "_fp").alias("_root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, segments: int = 3, together: int = 1) -> DataFrame:
     """``id_col, fp long, component_id`` for every row; the component's id is its smallest id."""
     prints = durable(fingerprints(docs, id_col, text_col, width))
-    nodes = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    roots = components(links(nodes.select("_fp"), "_fp", distance, segments, together), "a", "b")
-    rooted = durable(nodes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root")))
-    classes = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(classes, "_root").select("_fp", "component_id")
+    least = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
+    known = least.join(rooted(prints, distance, segments, together), "_fp")
+    classes = known.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    named = known.join(classes, "_root").select("_fp", "component_id")
     return prints.join(named, "_fp", "left").select(F.col("_id").alias(id_col), F.col("_fp").alias("fp"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, segments: int = 3, together: int = 1) -> DataFrame:
+    """One row of each group of near-duplicates, all columns: the one of smallest id (nulls last), then hash of the text."""
+    with_hash = docs.select(F.struct(id_col, F.xxhash64(text_col).alias("t")).alias("_key"), F.col(text_col).alias("_text"))
+    prints = durable(fingerprints(with_hash, "_key", "_text", width))
+    place = F.struct(F.col(f"_id.{id_col}").isNull().alias("no_id"), F.col(f"_id.{id_col}").alias("id"), F.col("_id.t").alias("t"))
+    least = prints.groupBy("_fp").agg(F.min(place).alias("_least"))
+    kept = least.join(rooted(prints, distance, segments, together), "_fp").groupBy("_root").agg(F.min("_least").alias("_least")).select(F.col("_least.id").alias("_id"), F.col("_least.t").alias("_t"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"))
+    met = whole.join(kept.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_t")), "left_semi")
+    # Rows that repeat an id and its text are the same document.
+    first = F.row_number().over(Window.partitionBy("_own", "_hash").orderBy(F.xxhash64("_row")))
+    return met.withColumn("_n", first).where("_n = 1").select("_row.*")
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
