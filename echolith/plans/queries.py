@@ -379,3 +379,72 @@ def seek_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = found.select("stream", (C("frame_no") * 1000).alias("target"))
     met = K.asof_backward(targets, K.seek_index(found, 8, "stream").select("stream", "pcm_frame_index"), "stream", "target", "pcm_frame_index")
     return met.select("stream", "target", F.coalesce(C("point.pcm_frame_index"), F.lit(0)).alias("pcm_frame_index"))
+
+
+# ADPCM: a byte of two codes for each event, in blocks of 32 bytes behind the block's header
+
+CODES = "select user_id as stream, (row_number() over (partition by user_id order by ts, event_id) - 1) as i, event_id*7 % 256 as byte from events"
+NIBBLES = "select stream, i // 32 as block, (i % 32)*2 + {0} + 1 as t, {1} as nib from (" + CODES + ")"
+IMA_SQL = f"""with recursive n as ({NIBBLES.format(0, "byte % 16")} union all {NIBBLES.format(1, "byte // 16")}),
+b as (select distinct stream, block from n),
+d as (
+  select stream, block, 0::bigint as t, (stream*37 % 20000 - 10000)::bigint as p, (stream % 40)::bigint as si from b
+  union all
+  select d.stream, d.block, n.t, greatest(-32768, least(32767, p + (case when nib >= 8 then -1 else 1 end) * (s // 8 + (case when nib % 2 = 1 then s // 4 else 0 end) + (case when nib // 2 % 2 = 1 then s // 2 else 0 end) + (case when nib // 4 % 2 = 1 then s else 0 end)))),
+    greatest(0, least(88, si + (case when nib % 8 < 4 then -1 else (nib % 8 - 3)*2 end)))
+  from (select *, {{steps}}[si + 1] as s from d) d join n on n.stream = d.stream and n.block = d.block and n.t = d.t + 1
+)
+select stream, (block*65 + t)::bigint as frame_idx, p::smallint as s16 from d"""
+MS_SQL = f"""with recursive n as ({NIBBLES.format(0, "byte // 16")} union all {NIBBLES.format(1, "byte % 16")}),
+b as (select distinct stream, block from n),
+d as (
+  select stream, block, 0::bigint as t, (stream*37 % 20000 - 10000)::bigint as s1, (stream*11 % 20000 - 10000)::bigint as s2, (16 + stream % 100)::bigint as delta, (stream % 7)::bigint as k from b
+  union all
+  select d.stream, d.block, n.t, greatest(-32768, least(32767, floor((s1*{{c1}}[k + 1] + s2*{{c2}}[k + 1])/256.0::double)::bigint + (case when nib >= 8 then nib - 16 else nib end)*delta)), s1, greatest(16, {{adapt}}[nib + 1]*delta // 256), k
+  from d join n on n.stream = d.stream and n.block = d.block and n.t = d.t + 1
+)
+select stream, (block*66 + t + 1)::bigint as frame_idx, s1::smallint as s16 from d
+union all select stream, (block*66)::bigint, (stream*11 % 20000 - 10000)::smallint from b"""
+
+
+def adpcm_files(spark: SparkSession, sf_dir: str, tag: int) -> DataFrame:
+    import struct
+
+    import pandas as pd
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["ts", "event_id"])
+        stream = int(group["user_id"].iloc[0])
+        codes = bytes(int(i) * 7 % 256 for i in group["event_id"])
+        s1, s2 = stream * 37 % 20000 - 10000, stream * 11 % 20000 - 10000
+        head = struct.pack("<hBB", s1, stream % 40, 0) if tag == H.IMA_ADPCM else struct.pack("<Bhhh", stream % 7, 16 + stream % 100, s1, s2)
+        data = b"".join(head + codes[k : k + 32] for k in range(0, len(codes), 32))
+        align = len(head) + 32
+        form = struct.pack("<HHIIHH", tag, 1, 8000, 4000, align, 4)
+        body = b"WAVE" + b"fmt " + struct.pack("<I", 16) + form + b"data" + struct.pack("<I", len(data)) + data + bytes(len(data) % 2)
+        return pd.DataFrame({"stream": [stream], "content": [b"RIFF" + struct.pack("<I", len(body)) + body]})
+
+    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id").groupBy("user_id").applyInPandas(one, "stream bigint, content binary")
+
+
+def _filled(sql: str) -> str:
+    from echolith.sources import codecs
+
+    lists = {"steps": codecs.IMA_STEPS, "adapt": codecs.MS_ADAPT, "c1": codecs.MS_COEF[:, 0], "c2": codecs.MS_COEF[:, 1]}
+    for name, values in lists.items():
+        sql = sql.replace("{" + name + "}", str(values.tolist()))
+    return sql
+
+
+for _name, _tag, _sql in (("adpcm_ima_blocks", H.IMA_ADPCM, IMA_SQL), ("adpcm_ms_blocks", H.MS_ADPCM, MS_SQL)):
+
+    @register(_name, _filled(_sql))
+    def adpcm_blocks(spark: SparkSession, sf_dir: str, tag: int = _tag) -> DataFrame:
+        """Blocks dealt out over all tasks and decoded alone."""
+        return T.adpcm_frames(adpcm_files(spark, sf_dir, tag), "stream").select("stream", "frame_idx", F.get("samples", F.lit(0)).alias("s16"))
+
+
+@register("adpcm_seek", f"select * from ({_filled(IMA_SQL)}) where frame_idx >= 70 and frame_idx < 90")
+def adpcm_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty frames from the 70th on: decoding starts at the block that holds it."""
+    return T.audio_samples(adpcm_files(spark, sf_dir, H.IMA_ADPCM), "s16", 70, 20, key="stream").drop("ch")

@@ -157,7 +157,7 @@ def _walk(out: Audio, data: bytes, size: int, sequential: bool, metadata: bool)
             seen_format = True
         elif name == b"SSND" and out.container == "aiff":
             need(seen_format or not sequential, "SSND before COMM")
-            skip = struct.unpack_from(">I", inside)[0]
+            skip, _ = struct.unpack_from(">II", inside)
             out.data_pos, out.data_size, seen_data = body + 8 + skip, max(0, n - skip), True
             if sequential:
                 break
