@@ -2,8 +2,10 @@
 
 Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends; one of more than ``piece``
 words counts as consecutive pieces of that many words, so that a long passage always holds several. A
-span is a run of ``run`` consecutive sentences with at least ``least_words`` words in all; its key is a
-128-bit hash of the sentences with their white space evened out. Keys are counted over all documents with
+span is a run of consecutive sentences, ``run`` of them at least and ``least_words`` words in all, and no
+longer than it must be: one begins at each sentence and one ends at each, so that the spans inside a
+repeated passage cover it to its last sentence, however short its sentences are. A span's key is a
+128-bit hash of its sentences with their white space evened out. Keys are counted over all documents with
 map-side combining, which also finds each key's first place (by document id, then position); a join on
 the key, whose hot keys the adaptive skew join splits, gives every span that is not the first of its
 kind. Sentences that such a span covers are removed, with the white space behind them.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,30 +52,51 @@ def sentences(text: str, piece: int = 12) -> Iterator[tuple[int, int, list[str]]
         at = after
 
 
+def spans(sizes: list[int], run: int = 3, least_words: int = 15) -> list[tuple[int, int]]:
+    """(first sentence, number of sentences) of each span, from the sentences' words."""
+    sums = [0, *accumulate(sizes)]
+    found, j = set(), 0
+    for i in range(len(sizes)):
+        j = max(j, i + run)
+        while j <= len(sizes) and sums[j] - sums[i] < least_words:
+            j += 1
+        if j > len(sizes):
+            break
+        found.add((i, j - i))
+    i = len(sizes)
+    for j in range(len(sizes), run - 1, -1):
+        i = min(i, j - run)
+        while i >= 0 and sums[j] - sums[i] < least_words:
+            i -= 1
+        if i < 0:
+            break
+        found.add((i, j - i))
+    return sorted(found)
+
+
 def span_keys(text: str | None, run: int = 3, least_words: int = 15) -> list[tuple[int, int, int]]:
-    """(position, high and low half of the key) of each span."""
+    """(first sentence << 16 | number of sentences, high and low half of the key) of each span."""
     from xxhash import xxh3_128_intdigest
 
     if not text:
         return []
-    units = [(" ".join(w), len(w)) for _, _, w in sentences(text)]
+    units = [w for _, _, w in sentences(text)]
+    lines = [" ".join(w) for w in units]
     found = []
-    for i in range(len(units) - run + 1):
-        part = units[i : i + run]
-        if sum(n for _, n in part) >= least_words:
-            key = xxh3_128_intdigest("\n".join(s for s, _ in part))
-            found.append((i, (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)))
+    for i, n in spans([len(w) for w in units], run, least_words):
+        key = xxh3_128_intdigest("\n".join(lines[i : i + n]))
+        found.append((i << 16 | n, (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)))
     return found
 
 
-def without(text: str | None, places: list[int] | None, run: int = 3) -> tuple[str | None, int, int]:
-    """The text without the sentences that spans at ``places`` cover, the number of sentences, and of those removed."""
+def without(text: str | None, places: list[int] | None) -> tuple[str | None, int, int]:
+    """The text without the sentences of the spans at ``places``, the number of sentences, and of those removed."""
     if text is None:
         return None, 0, 0
     units = list(sentences(text))
     if not places:
         return text, len(units), 0
-    gone = {i + k for i in places for k in range(run)}
+    gone = {k for p in places for k in range(p >> 16, (p >> 16) + (p & 0xFFFF))}
     kept = [text[: units[0][0]], *(text[s:e] for i, (s, e, _) in enumerate(units) if i not in gone)]
     return "".join(kept), len(units), len(gone)
 
@@ -86,20 +110,20 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        schema = pa.schema([("_id", to_arrow_type(id_type)), ("_doc", pa.int64()), ("_at", pa.int32()), ("_k1", pa.int64()), ("_k2", pa.int64())])
+        schema = pa.schema([("_id", to_arrow_type(id_type)), ("_doc", pa.int64()), ("_at", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64())])
         yield from packed(((i, d, *x) for i, d, t in rows(batches, "_id", "_doc", "_text") for x in span_keys(t, run, least_words)), schema, 20_000)
 
-    spans = base.mapInArrow(keys, f"_id {id_type.simpleString()}, _doc long, _at int, _k1 long, _k2 long")
+    found = base.mapInArrow(keys, f"_id {id_type.simpleString()}, _doc long, _at long, _k1 long, _k2 long")
     place = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_doc", "_at")
-    again = spans.groupBy("_k1", "_k2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = spans.join(again, ["_k1", "_k2"]).where(~((F.col("_doc") == F.col("_first._doc")) & (F.col("_at") == F.col("_first._at"))))
+    again = found.groupBy("_k1", "_k2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    later = found.join(again, ["_k1", "_k2"]).where(~((F.col("_doc") == F.col("_first._doc")) & (F.col("_at") == F.col("_first._at"))))
     places = later.groupBy("_doc").agg(F.collect_set("_at").alias("_places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         schema = pa.schema([("_id", to_arrow_type(id_type)), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())])
-        yield from packed(((i, *without(t, p, run)) for i, t, p in rows(batches, "_id", "_text", "_places")), schema, 500)
+        yield from packed(((i, *without(t, p)) for i, t, p in rows(batches, "_id", "_text", "_places")), schema, 500)
 
     joined = base.join(places.hint("shuffle_hash"), "_doc", "left").select("_id", "_text", "_places")
     return joined.mapInArrow(cut, f"_id {id_type.simpleString()}, text string, n_sentences long, n_removed long").withColumnRenamed("_id", id_col)
