@@ -2,8 +2,9 @@
 
 The benchmark is taken in blocks of bounded size (``block_items`` items and ``block_words`` words), so
 what the workers hold never grows with the benchmark; each block runs against all documents. A first
-pass counts the block's word n-grams in all documents. The rarest half of an item's n-grams are its
-seeds, however often they occur, so a passage that fills the corpus still has seeds. A second pass finds
+pass counts the block's word n-grams in all documents. Of an item's n-grams that
+occur at all, the rarest half are its seeds, so a passage that fills the corpus still has seeds, and an
+edited copy is not missed because its broken n-grams are the rarest. A second pass finds
 the seeds in each document, places the item by them, and aligns the words around each place with the
 item: matches score 2, mismatches and gaps -1. A pair is reported when the best local score reaches
 ``threshold`` of what the whole item would score, which holds for copies with about a third of their
@@ -89,10 +90,11 @@ class Block:
         return places[same], at[same]
 
     def seeds(self, counts: np.ndarray) -> Block:
-        """Only the rarest half of each item's n-grams; equally rare ones go by their place."""
+        """Only the rarest half of each item's n-grams that occur at all; equally rare ones go by their place."""
         code_of = np.repeat(np.arange(len(self.codes)), np.diff(self.starts))
         order = np.lexsort((self.offsets, counts[code_of], self.owners))
-        size = np.bincount(self.owners, minlength=len(self.items))
+        order = order[counts[code_of[order]] > 0]
+        size = np.bincount(self.owners[order], minlength=len(self.items))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
         keep = order[rank < (size[self.owners[order]] + 1) // 2]
         return self.with_entries(self.codes[code_of[keep]], self.owners[keep], self.offsets[keep])
