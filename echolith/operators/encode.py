@@ -108,7 +108,7 @@ def join_metadata(content: DataFrame, metadata: DataFrame, key: str = "stream")
     from echolith.sources.containers import parse
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = [r for r in right.to_dict("records") if r["type"] in INFO_IDS or r["type"] in ("label", "note")]
+        rows = [r | {"cue_point_id": int(r["cue_point_id"]) if pd.notna(r.get("cue_point_id")) else 0} for r in right.to_dict("records") if r["type"] in INFO_IDS or r["type"] in ("label", "note")]
         out = []
         for content in left["content"]:
             audio = parse(content)
