@@ -163,6 +163,16 @@ for _c, _sql in (("riff", "least(36 + d + d % 2, 4294967295) + 8"), ("w64", "104
         return formats(spark, sf_dir).select("size", "ch", "bits", H.target_size(container, C("size"), C("ch"), C("bits")).alias("bytes"))
 
 
+@register("extended_rate", "select n, n as rate from (select (l_orderkey*31 + l_partkey) % 384000 + 1 as n from lineitem)")
+def extended_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers as 80-bit floats, read back."""
+    n = table(spark, sf_dir, "lineitem").select(F.expr("(l_orderkey*31 + l_partkey) % 384000 + 1").alias("n"))
+    power = F.length(F.bin("n")) - 1
+    high = F.call_function("shiftleft", C("n"), 31 - power)
+    data = F.unhex(F.concat(F.lpad(F.hex(power + 16383), 4, "0"), F.lpad(F.hex(high), 8, "0"), F.lit("00000000")))
+    return n.select("n", H.extended_to_long(data).alias("rate"))
+
+
 # Containers: streams of events, written and read again
 
 STREAM = f"select user_id as stream, (row_number() over (partition by user_id order by ts, event_id) - 1)::bigint as frame_idx, (trunc({CLIP.replace('x', F32)} * 32767.5::float)::int - 32768)::smallint as s16, {F32} as f32 from events"
@@ -237,6 +247,13 @@ def wav_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw_data(encoded(spark, sf_dir), "stream").select("stream", F.length("raw").cast("long").alias("bytes"))
 
 
+@register("wav_bytes_be", f"select stream, sum(2)::bigint as bytes, first(s16 order by frame_idx)::int as first from ({STREAM}) group by stream")
+def wav_bytes_be(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as big-endian bytes: how many, and the first number in them."""
+    got = T.pcm_bytes(encoded(spark, sf_dir), "s16", big=True, key="stream")
+    return got.select("stream", F.length("pcm").cast("long").alias("bytes"), S.signed(S.bytes_to_uint(C("pcm"), 0, 2, big=True), 16).cast("int").alias("first"))
+
+
 @register("encoded_size", f"select stream, (44 + count(*)*2)::bigint as bytes from ({STREAM}) group by stream")
 def encoded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark, sf_dir).select("stream", F.octet_length("content").cast("long").alias("bytes"))

@@ -141,6 +141,16 @@ def raw_data(df: DataFrame, key: str = "path", first: int = 0, count: int | None
     return from_content(df, key, "raw binary", rows, size=16)
 
 
+def pcm_bytes(df: DataFrame, target: str = "s16", big: bool = False, key: str = "path", first: int = 0, count: int | None = None) -> DataFrame:
+    """``key, pcm``: the frames converted to ``target`` as interleaved bytes in the byte order asked for."""
+
+    def rows(content: bytes) -> Iterator[tuple]:
+        pcm = decode(parse(content, metadata=False), content, target, first, count)
+        yield (pcm.astype(pcm.dtype.newbyteorder(">" if big else "<")).tobytes(),)
+
+    return from_content(df, key, "pcm binary", rows, size=16)
+
+
 def adpcm_frames(df: DataFrame, key: str = "path", partitions: int | None = None) -> DataFrame:
     """``key, frame_idx, samples`` of ADPCM files, block by block.
 

@@ -45,3 +45,19 @@ def live_mp3_frames(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream").applyInPandasWithState(step, FRAMES, "rest binary, base bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+
+
+def write_stream(frames: DataFrame, path: str, checkpoint: str, kind: str = "s16", rate: int = 44100, container: str = "riff"):
+    """Starts a query that writes the streams of each micro-batch as files of their own, ``<stream>-<batch>.wav``.
+
+    A batch that is run again replaces its own files.
+    """
+    from pyspark.sql import functions as F
+
+    from echolith.api import write_audio
+
+    def batch(df: DataFrame, number: int) -> None:
+        named = df.withColumn("stream", F.concat_ws("-", F.col("stream").cast("string"), F.lit(str(number))))
+        write_audio(named, path, kind, rate, container)
+
+    return frames.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -97,3 +97,14 @@ def test_live_chunks_equal_the_whole(spark, tmp_path):
     q.awaitTermination(240)
     got = [r.byte_pos for r in spark.table("live_chunks").orderBy("frame_no").collect()]
     assert got == [417 * k for k in range(24)]
+
+
+def test_stream_sink(spark, tmp_path):
+    from echolith.api import decode_audio, read_audio
+    from echolith.streaming.ingest import write_stream
+
+    rows = spark.createDataFrame([("a", k, [k]) for k in range(50)], "stream string, frame_idx long, samples array<int>")
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows"))
+    write_stream(live, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert decode_audio(read_audio(spark, str(tmp_path / "out"), "a-0.wav")).count() == 50
