@@ -116,4 +116,5 @@ def mpeg_header(h: Column) -> dict[str, Column]:
 def same_stream(a: Column, b: Column) -> Column:
     """Whether two headers agree in version, layer, rate and in being free-format or not."""
     fixed = F.lit(0xFFFE0C00)
-    return (a.cast("long").bitwiseAND(fixed) == b.cast("long").bitwiseAND(fixed)) & ((_field(a, 12, 15) == 0) == (_field(b, 12, 15) == 0))
+    free = _field(a, 12, 15) == 0
+    return (a.cast("long").bitwiseAND(fixed) == b.cast("long").bitwiseAND(fixed)) & (free == (_field(b, 12, 15) == 0)) & (_field(b, 12, 15) != 15)

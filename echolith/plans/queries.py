@@ -465,3 +465,117 @@ for _name, _tag, _sql in (("adpcm_ima_blocks", H.IMA_ADPCM, IMA_SQL), ("adpcm_ms
 def adpcm_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty frames from the 70th on: decoding starts at the block that holds it."""
     return T.audio_samples(adpcm_files(spark, sf_dir, H.IMA_ADPCM), "s16", 70, 20, key="stream").drop("ch")
+
+
+# Other containers, metadata and tags, one file a stream
+
+
+def files_of(spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """``stream, content`` from a function of a stream's rows (``frame_idx, s16, event_type``) in order."""
+    import pandas as pd
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("frame_idx")
+        return pd.DataFrame({"stream": group["stream"].iloc[:1], "content": [build(group)]})
+
+    return streams_with_type(spark, sf_dir).groupBy("stream").applyInPandas(one, "stream bigint, content binary")
+
+
+def _aiff(group) -> bytes:
+    import struct
+
+    data = E.pack(group["s16"].to_numpy(), "s16", big=True)
+    common = struct.pack(">HIH", 1, len(group), 16) + bytes.fromhex("400EAC44000000000000")
+    sound = struct.pack(">II", 0, 0) + data
+    body = b"AIFF" + b"COMM" + struct.pack(">I", 18) + common + b"SSND" + struct.pack(">I", len(sound)) + sound
+    return b"FORM" + struct.pack(">I", len(body)) + body
+
+
+@register("aiff_decode", f"select stream, frame_idx, 0 as ch, s16 from ({STREAM})")
+def aiff_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.audio_samples(files_of(spark, sf_dir, _aiff), "s16", key="stream")
+
+
+def _rifx(group) -> bytes:
+    import struct
+
+    data = E.pack(group["s16"].to_numpy(), "s16", big=True)
+    form = struct.pack(">HHIIHH", 1, 1, 44100, 88200, 2, 16)
+    body = b"WAVE" + b"fmt " + struct.pack(">I", 16) + form + b"data" + struct.pack(">I", len(data)) + data
+    return b"RIFX" + struct.pack(">I", len(body)) + body
+
+
+@register("rifx_decode", f"select stream, frame_idx, 0 as ch, (s16*65536)::int as s32 from ({STREAM})")
+def rifx_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.audio_samples(files_of(spark, sf_dir, _rifx), "s32", key="stream")
+
+
+def _mulaw(group) -> bytes:
+    return E.encode_wav((group["s16"] % 256).to_numpy().astype("uint8").tobytes(), "mulaw", 1, 8000)
+
+
+@register("wav_mulaw_decode", f"select stream, frame_idx, 0 as ch, ({MULAW_SQL})::smallint as s16 from (select stream, frame_idx, 255 - (s16::int + 32768) % 256 as y from ({STREAM}))")
+def wav_mulaw_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.audio_samples(files_of(spark, sf_dir, _mulaw), "s16", key="stream")
+
+
+def _described(group) -> bytes:
+    clicks = [int(i) for i in group.loc[group["event_type"] == "click", "frame_idx"]]
+    stream = int(group["stream"].iloc[0])
+    head = dict.fromkeys(("manufacturer", "product", "sample_period", "midi_fraction", "smpte_format", "smpte_offset"), 0)
+    loops = [{"cue_point_id": k + 1, "type": 0, "first": i, "last": i + 10, "fraction": 0, "play_count": 2} for k, i in enumerate(clicks)]
+    loudness = {"loudness_value": -23, "loudness_range": 5, "max_true_peak": -1, "max_momentary": -9, "max_short_term": -12}
+    rows = [
+        {"type": "smpl", "smpl": head | {"midi_note": 60, "loops": loops}},
+        {"type": "inst", "inst": {"midi_note": stream % 128, "fine_tune": -stream % 50, "gain": 3, "low_note": 0, "high_note": 127, "low_velocity": 1, "high_velocity": 127}},
+        {"type": "acid", "acid": {"flags": 1, "root_note": 60, "reserved1": 0, "reserved2": 0.0, "beats": len(group), "meter_denominator": 4, "meter_numerator": 3, "tempo": 120.0}},
+        {"type": "bext", "bext": loudness | {"description": f"stream {stream}", "originator": "events", "originator_reference": "", "origination_date": "2024:01:02", "origination_time": "03:04:05", "time_reference": stream << 33, "version": 2, "umid": b"", "coding_history": ""}},
+    ]
+    return E.encode_wav(E.pack(group["s16"].to_numpy(), "s16"), "s16", 1, 44100, "rf64", rows)
+
+
+@register("meta_loops", f"select stream, row_number() over (partition by stream order by frame_idx) as cue_point_id, frame_idx as first, frame_idx + 10 as last, 2::bigint as play_count from ({CLICKS})")
+def meta_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.audio_metadata(files_of(spark, sf_dir, _described), "stream", ["smpl"]).select("stream", F.inline("smpl.loops"))
+    return found.select("stream", "cue_point_id", "first", "last", "play_count")
+
+
+@register("meta_fixed_chunks", "select user_id as stream, (user_id % 128)::int as note, ((50 - user_id % 50) % 50)::int as tune, count(*)::bigint as beats, 120::float as tempo, 'stream ' || user_id::varchar as description, '2024:01:02' as date, (user_id*8589934592)::bigint as time_reference, -23 as loudness from events group by user_id")
+def meta_fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instrument, tempo and broadcast chunks of every stream, in one row."""
+    found = T.audio_metadata(files_of(spark, sf_dir, _described), "stream", ["inst", "acid", "bext"])
+    one = {n: F.max(n).alias(n) for n in ("inst", "acid", "bext")}
+    wide = found.groupBy("stream").agg(*one.values())
+    return wide.select("stream", C("inst.midi_note").alias("note"), C("inst.fine_tune").alias("tune"), C("acid.beats").alias("beats"), C("acid.tempo").alias("tempo"), C("bext.description").alias("description"), C("bext.origination_date").alias("date"), C("bext.time_reference").cast("long").alias("time_reference"), C("bext.loudness_value").alias("loudness"))
+
+
+def _tagged(group) -> bytes:
+    head = b"\xff\xfb\x90\x00"
+    lame = b"LAME3.100".ljust(21, b"\0") + ((576 << 12) | 1000).to_bytes(3, "big") + bytes(12)
+    info = (head + bytes(32) + b"Xing" + bytes([0, 0, 0, 1]) + len(group).to_bytes(4, "big") + lame).ljust(417, b"\0")
+    return b"ID3\x04\0\0\0\0\0\x0a" + bytes(10) + info + head.ljust(417, b"\0") * len(group) + b"APETAGEX" + bytes(24) + b"TAG".ljust(128, b" ")
+
+
+@register("mp3_tags", "select user_id as stream, idx, type, size from (select distinct user_id from events), (values (0, 'id3v1', 128), (1, 'ape', 32), (2, 'id3v2', 20), (3, 'xing', 381)) t(idx, type, size)")
+def mp3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.audio_tags(files_of(spark, sf_dir, _tagged), "stream").select("stream", "idx", "type", F.length("raw").alias("size"))
+
+
+@register("mp3_totals", "select user_id as stream, (count(*)*1152)::bigint as total, 1105 as delay, 471 as padding, greatest(count(*)*1152 - 1105 - 471, 0)::bigint as trimmed, (count(*)*1152)::bigint as counted from events group by user_id")
+def mp3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by the Xing frame, trimmed by LAME's delays, beside those counted by walking the stream."""
+    files = files_of(spark, sf_dir, _tagged)
+    info, counted = T.mp3_info(files, "stream"), K.counts(T.mp3_frames(files, "stream"), "stream")
+    both = info.join(counted, "stream")
+    return both.select("stream", C("total_pcm_frames").alias("total"), "delay", "padding", K.pcm_total(C("pcm_frames"), C("total_pcm_frames"), C("delay"), C("padding")).cast("long").alias("trimmed"), C("pcm_frames").alias("counted"))
+
+
+@register("meta_cue_points", f"select stream, (frame_idx + 1)::bigint as id, frame_idx as position, frame_idx as sample_offset from ({CLICKS})")
+def meta_cue_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cue_metadata(spark, sf_dir).where("type = 'cue'").select("stream", F.inline("cue.points")).select("stream", "id", "position", "sample_offset")
+
+
+@register("mp3_same_stream", f"with v as (select h, (h // 524288) % 4 as v, (h // 131072) % 4 as l, (h // 1024) % 4 as r, (h // 4096) % 16 as b from ({HEADS})) select h, (v = 3 and l = 1 and r = 0 and (h // 2097152) % 2048 = 2047 and b <> 0 and b <> 15) as same from v")
+def mp3_same_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers that agree with that of a 44.1 kHz MPEG-1 Layer III stream."""
+    return mpeg_values(spark, sf_dir).select("h", H.same_stream(F.lit(0xFFFB9000), C("h")).alias("same"))
