@@ -5,7 +5,7 @@ Signals come from ``lineitem`` and ``events`` by arithmetic that reads alike in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolith.functions import headers as H

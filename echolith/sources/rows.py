@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
@@ -45,8 +44,3 @@ def from_content(df: DataFrame, key: str, columns: str, make: Callable[..., Iter
         yield from batches(rows(), to_arrow_schema(schema), size)
 
     return chosen.mapInArrow(work, schema)
-
-
-def content_of(df: DataFrame, content: str = "content") -> DataFrame:
-    """Only rows that hold bytes."""
-    return df.where(F.col(content).isNotNull())
