@@ -167,14 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def described(docs: DataFrame, text_col: str) -> DataFrame:
-    """``_keep``, a struct of all columns of ``docs``, and the statistics of the text."""
+    """``_keep``, a struct of all columns of ``docs``, ``_row``, and the statistics of the text.
+
+    ``_row`` is not deterministic, so the optimizer moves no filter on a score below this projection:
+    there it would work out the statistics anew for every part of every rule.
+    """
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_keep"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")).withColumn("_w", words(F.col("_text")))
-    return whole.select("_keep", *(c.alias(n) for n, c in statistics(F.col("_text")).items()))
+    return whole.select("_keep", F.monotonically_increasing_id().alias("_row"), *(c.alias(n) for n, c in statistics(F.col("_text")).items()))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``_keep``, a struct of all columns of ``docs``, and ``_score``; one pass, no shuffle."""
-    return described(docs, text_col).select("_keep", model.column().alias("_score"))
+    return described(docs, text_col).select("_keep", F.when(F.col("_row") >= 0, model.column()).alias("_score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, most_rows: int = MOST_ROWS) -> DataFrame:
