@@ -19,37 +19,33 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolith.llm.common import packed, rows, table
+from echolith.llm.common import durable, packed, rows, table
 
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+|[^\S\n]*\n\s*")
+SENTENCE_END = re.compile(r"[.!?]\s+|\n\s*")
 WORD_GAP = re.compile(r"\s+")
 
 
-def sentences(text: str, piece: int = 12) -> Iterator[tuple[int, int, list[str]]]:
+def sentences(text: str, piece: int = 25) -> Iterator[tuple[int, int, list[str]]]:
     """(start, start of what follows, words) of each sentence or piece."""
     at = 0
-    ends = [(m.start(), m.end()) for m in SENTENCE_END.finditer(text)]
-    for end, after in [*ends, (len(text), len(text))]:
-        words = text[at:end].split()
-        if not words:
-            at = at if not end else after
-            continue
-        if len(words) <= piece:
-            yield at, after, words
-        else:
-            start = at
-            gaps = [m.end() for m in WORD_GAP.finditer(text, at, end) if m.start() > at]
-            for k in range(0, len(words), piece):
-                stop = gaps[k + piece - 1] if k + piece < len(words) else after
-                yield start, stop, words[k : k + piece]
-                start = stop
-        at = after
+    for m in chain(SENTENCE_END.finditer(text), (None,)):
+        end, after = (m.start() + 1, m.end()) if m else (len(text), len(text))
+        if words := text[at:end].split():
+            if len(words) <= piece:
+                yield at, after, words
+            else:
+                start, gaps = at, [g.end() for g in WORD_GAP.finditer(text, at + len(text[at:end]) - len(text[at:end].lstrip()), end)]
+                for k in range(0, len(words), piece):
+                    stop = gaps[k + piece - 1] if k + piece < len(words) else after
+                    yield start, stop, words[k : k + piece]
+                    start = stop
+            at = after
 
 
 def spans(sizes: list[int], run: int = 3, least_words: int = 15) -> list[tuple[int, int]]:
@@ -115,7 +111,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = base.mapInArrow(keys, f"_id {id_type.simpleString()}, _doc long, _at long, _k1 long, _k2 long")
     place = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_doc", "_at")
-    again = found.groupBy("_k1", "_k2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    again = durable(found.groupBy("_k1", "_k2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     later = found.join(again, ["_k1", "_k2"]).where(~((F.col("_doc") == F.col("_first._doc")) & (F.col("_at") == F.col("_first._at"))))
     places = later.groupBy("_doc").agg(F.collect_set("_at").alias("_places"))
 
