@@ -61,7 +61,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return level.withColumn("target", target).select("_key", "source_size", "docs", "target")
 
 
-def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, per_bin: int = 5000) -> DataFrame:
+def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, per_bin: int = 500) -> DataFrame:
     """``id_col, source, size, source_size, target, taken`` for every row of ``docs``.
 
     ``weight`` is a positive column of ``docs`` (by default the share of letters). The only thing that
