@@ -8,18 +8,20 @@ is carried back through the layers above it to code points of the text: a charac
 layer maps to the escape that made it, a character of base64 maps to the whole encoded run.
 
 Nulls and empty texts have no span. Repeated rows are scanned each. Spans come sorted by start, then
-kind in the order assign, access, hex; equal spans appear once. Long texts take linear time: every
-layer is shorter than what it was unwrapped from, and a document's layers are bounded by its escapes.
+kind in the order assign, access, hex; equal spans appear once. Every layer is
+shorter than what it was unwrapped from, and its way back is kept in stretches, so a long text takes memory
+in proportion to its length and its escapes.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -50,25 +52,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def escaped_layer(text: str, pattern: re.Pattern, decode) -> tuple[str, list[tuple[int, int]]] | None:
-    """The text with its escapes undone, and for each of its characters the span it came from."""
-    out, where, at, changed = [], [], 0, False
+@dataclass
+class Layer:
+    """A text with its escapes undone, in pieces: plain stretches, and characters that an escape made."""
+
+    text: str
+    starts: list[int]  # of each piece in ``text``
+    sources: list[int]  # where it begins in the layer above
+    ends: list[int]  # where an escape ends there; -1 for a plain stretch
+    above: Layer | tuple[int, int] | None  # tuple: the span that all of the layer above came from
+
+    def left(self, at: int) -> int:
+        k = bisect_right(self.starts, at) - 1
+        return self.sources[k] + (at - self.starts[k] if self.ends[k] < 0 else 0)
+
+    def right(self, at: int) -> int:
+        k = bisect_right(self.starts, at) - 1
+        return self.sources[k] + at - self.starts[k] + 1 if self.ends[k] < 0 else self.ends[k]
+
+
+def origin(where: Layer | tuple[int, int] | None, start: int, end: int) -> tuple[int, int]:
+    """A span of a layer as a span of the whole text."""
+    while isinstance(where, Layer):
+        start, end, where = where.left(start), where.right(end - 1), where.above
+    return (start, end) if where is None else where
+
+
+def undone(text: str, pattern: re.Pattern, decode, above) -> Layer | None:
+    out = Layer("", [], [], [], above)
+    parts, size, at = [], 0, 0
+
+    def add(chars: str, source: int, end: int) -> None:
+        nonlocal size
+        if chars:
+            parts.append(chars)
+            out.starts.append(size)
+            out.sources.append(source)
+            out.ends.append(end)
+            size += len(chars)
+
     for m in pattern.finditer(text):
-        plain = decode(m[0])
-        if plain is None:
+        if (plain := decode(m[0])) is None:
             continue
-        changed = True
-        out.append(text[at : m.start()])
-        where += [(i, i + 1) for i in range(at, m.start())]
+        add(text[at : m.start()], at, -1)
         for chars, start, end in plain:
-            out.append(chars)
-            where += [(m.start() + start, m.start() + end)] * len(chars)
+            add(chars, m.start() + start, m.start() + end)
         at = m.end()
-    if not changed:
+    if not at:
         return None
-    out.append(text[at:])
-    where += [(i, i + 1) for i in range(at, len(text))]
-    return "".join(out), where
+    add(text[at:], at, -1)
+    out.text = "".join(parts)
+    return out
 
 
 def percent(run: str) -> list[tuple[str, int, int]] | None:
@@ -134,30 +168,24 @@ def unwrapped(run: str) -> str | None:
 def nested_spans(text: str) -> set[tuple[int, int, int]]:
     """Spans in decoded layers, as code points of ``text``."""
     found: set[tuple[int, int, int]] = set()
-    seen = {text}
-    #: A layer, and how its characters map to the text: None at the top, a list for each character, or one span for all.
-    work: list[tuple[str, list[tuple[int, int]] | tuple[int, int] | None]] = [(text, None)]
+    seen: set = {text}
+    #: A layer's text, and what leads back from it: the layer itself, a span it all came from, or nothing at the top.
+    work: list[tuple[str, Layer | tuple[int, int] | None]] = [(text, None)]
     while work:
         layer, where = work.pop()
-
-        def origin(start: int, end: int, where=where) -> tuple[int, int]:
-            if where is None:
-                return start, end
-            return where if isinstance(where, tuple) else (where[start][0], where[end - 1][1])
-
         if where is not None:
             for start, kind, end in base_spans(layer):
-                found.add((origin(start, end)[0], kind, origin(start, end)[1]))
-        inner = []
+                first, last = origin(where, start, end)
+                found.add((first, kind, last))
+        inner: list[tuple[str, Layer | tuple[int, int]]] = []
         for pattern, decode, mark in ((PERCENT, percent, "%"), (UNICODE, unicode_escapes, "\\u")):
-            if mark in layer and (got := escaped_layer(layer, pattern, decode)):
-                plain, came = got
-                inner.append((plain, where if isinstance(where, tuple) else [origin(*x) for x in came]))
+            if mark in layer and (got := undone(layer, pattern, decode, where)):
+                inner.append((got.text, where if isinstance(where, tuple) else got))
         for m in BASE64.finditer(layer):
             if (plain := unwrapped(m[0])) is not None:
-                inner.append((plain, origin(m.start(), m.end())))
+                inner.append((plain, origin(where, m.start(), m.end())))
         for plain, came in inner:
-            if (key := plain if not isinstance(came, tuple) else (plain, came)) not in seen:
+            if (key := (plain, came) if isinstance(came, tuple) else plain) not in seen:
                 seen.add(key)
                 work.append((plain, came))
     return found
