@@ -37,7 +37,7 @@ def ngram_buckets(hashes: Column, buckets: int) -> Column:
     """The buckets of all unigrams and bigrams, from the hashes of the words."""
     ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
     twos = F.transform(hashes, lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(buckets)).cast("int"))
-    return F.concat(ones, F.slice(twos, 1, F.greatest(F.size(twos) - 1, F.lit(0))))
+    return F.concat(ones, F.slice(twos, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
 
 
 def repeated_words(hashes: Column) -> Column:
