@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is taken in blocks of bounded size (``block_items`` items and ``block_words`` words), so
-what the workers hold never grows with the benchmark; each block runs against all documents. A first
-pass counts the block's word n-grams in all documents. Of an item's n-grams that
-occur at all, the rarest half are its seeds, so a passage that fills the corpus still has seeds, and an
-edited copy is not missed because its broken n-grams are the rarest. A second pass finds
-the seeds in each document, places the item by them, and aligns the words around each place with the
-item: matches score 2, mismatches and gaps -1. A pair is reported when the best local score reaches
-``threshold`` of what the whole item would score, which holds for copies with about a third of their
-words edited. Neither pass shuffles documents.
+what the workers hold never grows with the benchmark; each block runs against all documents, in one pass
+and without a shuffle. Every n-gram of an item is a seed, in a document's words and in every ``width``-th of
+them. A seed places the item, and the words around are aligned with it: matches score 2, mismatches and
+gaps -1. A pair is reported when the best local score reaches ``threshold`` of what the whole item would
+score, which holds for copies with about a third of their words edited. What cannot reach it, for too few
+of its words are the item's, is not aligned.
+
+With the defaults no pair is lost to the seeds. Score n of an item of n >= 5 words: where no two matches
+are neighbours in both texts, an edit lies between each two, so m matches score m + 1 at most and m is
+n - 1 or n; all edits between them but one or two are then single words put in, which leaves pairs two places apart.
 
 Words are runs of letters and digits, lowered. Items of fewer than ``least_words`` words (nulls and empty
 texts too) identify nothing and match nothing. Null texts match nothing; a null document or item id is
@@ -18,7 +20,6 @@ reported as null. Repeated documents and items are reported each. Extra columns
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +51,10 @@ class Block:
     owners: np.ndarray  # item of an entry
     offsets: np.ndarray  # place of the n-gram in it
 
+    def __post_init__(self) -> None:
+        self.sizes = np.array([len(x) for x in self.items])
+        self.begins, self.flat = np.cumsum(self.sizes) - self.sizes, np.concatenate(self.items)
+
     @classmethod
     def of(cls, found: list[tuple], width: int) -> Block:
         vocabulary: dict[str, int] = {}
@@ -58,14 +63,14 @@ class Block:
         grams = [block.grams(x) for x in items]
         return block.with_entries(np.concatenate(grams), np.repeat(np.arange(len(items)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams]))
 
-    def grams(self, numbers: np.ndarray) -> np.ndarray:
-        """The code of the n-gram at each place, -1 where a word is unknown."""
-        n, size = len(numbers) - self.width + 1, len(self.vocabulary) + 1
+    def grams(self, numbers: np.ndarray, step: int = 1) -> np.ndarray:
+        """The code of the n-gram of every ``step``-th word at each place, -1 where a word is unknown."""
+        n, size = len(numbers) - (self.width - 1) * step, len(self.vocabulary) + 1
         if n <= 0:
             return np.zeros(0, np.int64)
         code, known = np.zeros(n, np.int64), np.ones(n, bool)
         for k in range(self.width):
-            part = numbers[k : k + n]
+            part = numbers[k * step : k * step + n]
             known &= part >= 0
             code = code * size + part
         return np.where(known, code, -1)
@@ -79,9 +84,9 @@ class Block:
         get = self.vocabulary.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-    def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def found(self, numbers: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Places whose n-gram is in the table, and which one it is."""
-        grams = self.grams(numbers)
+        grams = self.grams(numbers, step)
         places = np.flatnonzero(grams >= 0)
         if not len(places) or not len(self.codes):
             return places[:0], places[:0]
@@ -89,15 +94,42 @@ class Block:
         same = self.codes[at] == grams[places]
         return places[same], at[same]
 
-    def seeds(self, counts: np.ndarray) -> Block:
-        """Only the rarest half of each item's n-grams that occur at all; equally rare ones go by their place."""
-        code_of = np.repeat(np.arange(len(self.codes)), np.diff(self.starts))
-        order = np.lexsort((self.offsets, counts[code_of], self.owners))
-        order = order[counts[code_of[order]] > 0]
-        size = np.bincount(self.owners[order], minlength=len(self.items))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        keep = order[rank < (size[self.owners[order]] + 1) // 2]
-        return self.with_entries(self.codes[code_of[keep]], self.owners[keep], self.offsets[keep])
+    def shared(self, numbers: np.ndarray) -> np.ndarray:
+        """How many words of each item occur in a text."""
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[numbers] = True  # -1 is the last
+        return np.add.reduceat(there[self.flat], self.begins, dtype=np.int64)
+
+    def placed(self, numbers: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(item, where it would begin) of every seed in a text, ordered; of items that may reach the threshold."""
+        likely = self.shared(numbers) >= threshold * self.sizes
+        if not likely.any():
+            return self.owners[:0], self.offsets[:0]
+        found = [self.found(numbers, step) for step in (1, 2)]
+        places, which = (np.concatenate(x) for x in zip(*found, strict=True))
+        sizes = self.starts[which + 1] - self.starts[which] if len(which) else which
+        entries = np.repeat(self.starts[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        owners, firsts = self.owners[entries], np.repeat(places, sizes) - self.offsets[entries]
+        owners, firsts = owners[likely[owners]], firsts[likely[owners]]
+        order = np.lexsort((firsts, owners))
+        return owners[order], firsts[order]
+
+
+    def within(self, numbers: np.ndarray, owners: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        """How many words of an item occur in a stretch of a text, for each of several items and stretches."""
+        known, size = np.flatnonzero(numbers >= 0), len(numbers) + 1
+        keys, sizes = np.sort(numbers[known] * size + known), self.sizes[owners]
+        begins = np.cumsum(sizes) - sizes
+        words = self.flat[np.repeat(self.begins[owners] - begins, sizes) + np.arange(sizes.sum())] * size
+        there = np.searchsorted(keys, words + np.repeat(lows, sizes)) < np.searchsorted(keys, words + np.repeat(highs, sizes))
+        return np.add.reduceat(there, begins, dtype=np.int64)
+
+
+def dense(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
+    """Whether words of the item lie as close in the passage as in an alignment that reaches the threshold."""
+    length = int((3 - 2 * threshold) * len(item)) + 1
+    sums = np.concatenate(([0], np.cumsum(np.isin(passage, item))))
+    return (sums[length:] - sums[:-length]).max() >= threshold * len(item) if len(passage) > length else True
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -116,22 +148,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 def hits(block: Block, text: str | None, threshold: float) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, first word, end) of each item that the text contains, by its best passage."""
     numbers = block.numbers(word_list(text))
-    places, which = block.found(numbers)
-    if not len(places):
+    owners, firsts = block.placed(numbers, threshold)
+    if not len(owners):
         return
-    entries = [(int(block.owners[e]), int(p - block.offsets[e])) for p, c in zip(places, which, strict=True) for e in range(block.starts[c], block.starts[c + 1])]
-    entries.sort()
+    #: An alignment that reaches the threshold has no more words put in than this.
+    slacks = (2 * (1 - threshold) * block.sizes).astype(np.int64) + 1
+    cuts = np.flatnonzero((np.diff(owners) != 0) | (np.diff(firsts) > slacks[owners[1:]])) + 1
+    starts, stops = np.append(0, cuts), np.append(cuts, len(owners))
+    owners, slack = owners[starts], slacks[owners[starts]]
+    lows, highs = np.maximum(firsts[starts] - slack, 0), np.minimum(firsts[stops - 1] + block.sizes[owners] + slack, len(numbers))
+    likely = block.within(numbers, owners, lows, highs) >= threshold * block.sizes[owners]
     best: dict[int, tuple[float, int, int]] = {}
-    at = 0
-    while at < len(entries):
-        owner, first = entries[at]
-        item, last = block.items[owner], first
-        slack = len(item) // 2 + 8
-        at += 1
-        while at < len(entries) and entries[at][0] == owner and entries[at][1] <= last + slack:
-            last = entries[at][1]
-            at += 1
-        low, high = max(0, first - slack), min(len(numbers), last + len(item) + slack)
+    for owner, low, high in zip(owners[likely].tolist(), lows[likely].tolist(), highs[likely].tolist(), strict=True):
+        item = block.items[owner]
+        if not dense(item, numbers[low:high], threshold):
+            continue
         score, end = align(item, numbers[low:high])
         share = score / (MATCH * len(item))
         if share >= threshold and share > best.get(owner, (0.0, 0, 0))[0]:
@@ -156,27 +187,9 @@ def blocks(items: DataFrame, id_col: str, text_col: str, width: int, least_words
         yield Block.of(held, width)
 
 
-def seeded(docs: DataFrame, block: Block, text_col: str) -> Block:
-    """The block with seeds only, after its n-grams were counted in all documents."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(block)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen = shared.value, Counter()
-        for (text,) in rows(batches, "_text"):
-            seen.update(block.found(block.numbers(word_list(text)))[1].tolist())
-        yield from packed(seen.items(), pa.schema([("code", pa.int64()), ("n", pa.int64())]))
-
-    found = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(block.codes), np.int64)
-    for code, n in found:
-        counts[code] = n
-    return block.seeds(counts)
-
-
-def all_seeded(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = 3, least_words: int = 5, block_items: int = 20_000, block_words: int = 1_000_000) -> list:
-    """A broadcast of each block with its seeds."""
-    return [docs.sparkSession.sparkContext.broadcast(seeded(docs, b, text_col)) for b in blocks(items, item_col, text_col, width, least_words, block_items, block_words)]
+def all_blocks(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = 2, least_words: int = 5, block_items: int = 20_000, block_words: int = 1_000_000) -> list:
+    """A broadcast of each block."""
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(items, item_col, text_col, width, least_words, block_items, block_words)]
 
 
 def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
@@ -185,7 +198,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", it
     id_type, item_type = base.schema["_id"].dataType, items.schema[item_col].dataType
     out_type = f"_id {id_type.simpleString()}, _item {item_type.simpleString()}, score double, first_word long, end_word long, passage string"
     found = docs.sparkSession.createDataFrame([], out_type)
-    for shared in all_seeded(docs, items, item_col, text_col, **how):
+    for shared in all_blocks(docs, items, item_col, text_col, **how):
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
@@ -204,7 +217,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", it
 def is_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = 0.5, **how) -> Column:
     """A condition on ``docs``: its text contains no item."""
     clean = F.lit(True)
-    for shared in all_seeded(docs, items, text_col=text_col, **how):
+    for shared in all_blocks(docs, items, text_col=text_col, **how):
         judge = F.pandas_udf(lambda texts, shared=shared: texts.map(lambda t: next(hits(shared.value, t, threshold), None) is None), "boolean")
         clean = clean & judge(F.col(text_col))
     return clean

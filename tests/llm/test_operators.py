@@ -357,6 +357,34 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminations(empty, bench).count() == 0 and decontamination.contaminations(docs, bench.where("false")).count() == 0
 
 
+def test_edited_copies_are_found_beside_exact_ones(spark):
+    rng = random.Random(31)
+    items = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(12, 60))) for _ in range(12)]
+    docs, want = [], set()
+    for k, item in enumerate(items):
+        w = item.split()
+        edits = [w, *([("changed" if j % n == n - 1 else x) for j, x in enumerate(w)] for n in (3, 4, 5, 6)), " put ".join(w).split(), [x for j, x in enumerate(w) if j % 3]]
+        for e in edits:
+            want.add((len(docs), k))
+            docs.append((len(docs), "lead " + " ".join(e) + " tail"))
+        docs.append((len(docs), " ".join(sorted(w)) + " tail"))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminations(docs, bench).collect()} == want
+    assert docs.where(decontamination.is_clean(docs, bench)).count() == docs.count() - len(want)
+
+
+def test_no_pair_is_lost_before_the_alignment():
+    rng = random.Random(32)
+    for _ in range(400):
+        words = [[rng.choice("abcdefghijkl") for _ in range(rng.randint(5, 16))] for _ in range(4)]
+        block = decontamination.Block.of(list(enumerate(words)), 2)
+        text = [rng.choice("abcdefghijklxyz") for _ in range(rng.randint(1, 90))]
+        numbers = block.numbers(text)
+        best = {k: decontamination.align(x, numbers)[0] / (2 * len(x)) for k, x in enumerate(block.items)}
+        assert {k: s for k, s, *_ in decontamination.hits(block, " ".join(text), 0.5)} == {k: s for k, s in best.items() if s >= 0.5}
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(3)
     for _ in range(60):
