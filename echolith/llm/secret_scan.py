@@ -7,8 +7,14 @@ layer that was seen before in the document ends its branch, which ends cycles. A
 is carried back through the layers above it to code points of the text: a character of an escaped
 layer maps to the escape that made it, a character of base64 maps to the whole encoded run.
 
+Base64 that is wrapped into lines of one width is joined before it is decoded; each line is also decoded
+alone. Compressed streams are unfolded with all their members, however deep they are nested, and what a
+damaged or short one gives is scanned. A run whose streams unfold to more than ``MOST_INFLATED`` bytes in
+all, or to one that was there before, is scanned that far and reported as a span of kind ``partial``: the document was not
+fully scanned. The run is redacted like a secret.
+
 Nulls and empty texts have no span. Repeated rows are scanned each. Spans come sorted by start, then
-kind in the order assign, access, hex; equal spans appear once. Every layer is
+kind in the order assign, access, hex, partial; equal spans appear once. Every layer is
 shorter than what it was unwrapped from, and its way back is kept in stretches, so a long text takes memory
 in proportion to its length and its escapes.
 """
@@ -17,6 +23,8 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
@@ -30,7 +38,8 @@ from pyspark.sql import functions as F
 
 from echolith.llm.common import packed, rows, table
 
-KINDS = ("assign", "access", "hex")
+KINDS = ("assign", "access", "hex", "partial")
+PARTIAL = 3
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: Runs that fail for their length lie within no other match of their kind, so the length stands in the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -40,8 +49,11 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 #: 20 characters hold 15 bytes, less than the shortest secret with its name.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Bytes that one compressed layer may unfold to.
-MOST_INFLATED = 16 << 20
+#: Runs that only line breaks part, which may be escaped; no run is tried again from its inside.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"(?<![A-Za-z0-9+/_\\-])[A-Za-z0-9+/_-]+|(?<=\\[nr])[A-Za-z0-9+/_-]+")
+#: Bytes that the compressed streams of one run may unfold to, all levels and members together.
+MOST_INFLATED = 64 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -130,64 +142,123 @@ def unicode_escapes(run: str) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def inflated(data: bytes) -> bytes | None:
-    """What a gzip or zlib stream unfolds to, or None."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(data, MOST_INFLATED)
-    except zlib.error:
-        return None
+def compressed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
+
+
+def inflated(data: bytes, most: int) -> tuple[bytes, bool] | None:
+    """What the members of a gzip or zlib stream unfold to, and whether that is all below ``most`` bytes; or None."""
+    parts, size, rest = [], 0, data
+    while compressed(rest):
+        unfold = zlib.decompressobj(47)
+        try:
+            while not unfold.eof:
+                part = unfold.decompress(rest, 1 << 16)
+                rest = unfold.unconsumed_tail
+                if size + len(part) > most:
+                    return b"".join(parts), False
+                parts.append(part)
+                size += len(part)
+                if not part and not rest:
+                    break
+        except zlib.error:
+            break
+        rest = unfold.unused_data.lstrip(b"\0")
+    return (b"".join(parts), True) if size else None
 
 
-def readable(data: bytes) -> str | None:
+def readable(data: bytes, short: bool = False) -> str | None:
+    """The bytes as text, or None; ``short`` ones may end within a character."""
     try:
-        text = data.decode()
+        text = codecs.getincrementaldecoder("utf-8")().decode(data, not short)
     except UnicodeDecodeError:
         return None
-    shown = sum(map(text.count, "\t\n\r"))
-    return text if text and (text.isprintable() or sum(c.isprintable() for c in text) + shown >= 0.95 * len(text)) else None
+    if not text or text.isprintable():
+        return text or None
+    odd = len(text) - sum(sum(map(str.isprintable, text[k : k + 65536])) for k in range(0, len(text), 65536)) - sum(map(text.count, "\t\n\r"))
+    return text if odd <= 0.05 * len(text) else None
 
 
-def unwrapped(run: str) -> str | None:
-    """The text inside a base64 run, through the compressed streams it may hold."""
+def unwrapped(run: str) -> tuple[str | None, bool]:
+    """The text inside a base64 run, through the compressed streams it may hold, and whether that is all of it."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         body = body[:-1]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None
-    for _ in range(8):
-        if (more := inflated(data)) is None:
+        return None, True
+    left, seen, whole, deep = MOST_INFLATED, set(), True, False
+    while whole and compressed(data):
+        mark = hashlib.blake2b(data, digest_size=16).digest()
+        if mark in seen:  # a stream that unfolds to itself
+            whole = False
             break
-        data = more
-    return readable(data)
+        seen.add(mark)
+        if (more := inflated(data, left)) is None:
+            break
+        data, whole = more
+        left -= len(data)
+        deep = True
+    return readable(data, deep), whole
+
+
+def wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, joined run) of what may be base64 in lines of one width, the last shorter and the first after other text."""
+    for m in WRAPPED.finditer(text):
+        if m.end() - m.start() < 20:
+            continue
+        lines = [(x.start(), x.end()) for x in LINE.finditer(text, m.start(), m.end())]
+        widths = [b - a for a, b in lines]
+        at = 0
+        while at < len(lines):
+            stop = at + 1
+            while stop < len(lines) and widths[stop] == widths[at]:
+                stop += 1
+            if stop - at > 1 or widths[at] >= 20:
+                tail = stop < len(lines) and widths[stop] < widths[at]
+                for first in {at, max(at - 1, 0)}:
+                    for last in {stop, stop + tail, stop - 1}:
+                        if last - first > 1:
+                            end = m.end() if last == len(lines) else lines[last - 1][1]
+                            run = "".join(text[a:b] for a, b in lines[first:last])
+                            if len(run) >= 20:
+                                yield lines[first][0], end, run
+            at = stop
 
 
 def nested_spans(text: str) -> set[tuple[int, int, int]]:
     """Spans in decoded layers, as code points of ``text``."""
     found: set[tuple[int, int, int]] = set()
-    seen: set = {text}
-    #: A layer's text, and what leads back from it: the layer itself, a span it all came from, or nothing at the top.
-    work: list[tuple[str, Layer | tuple[int, int] | None]] = [(text, None)]
+    seen: set = set()
+    #: A layer's text, what leads back from it (the layer itself, a span it all came from, or nothing at the top),
+    #: and whether it is a run to be decoded yet, so that one unfolded layer is held at a time.
+    work: list[tuple[str, Layer | tuple[int, int] | None, bool]] = [(text, None, False)]
     while work:
-        layer, where = work.pop()
+        layer, where, encoded = work.pop()
+        if encoded:
+            plain, whole = unwrapped(layer)
+            if not whole:
+                found.add((where[0], PARTIAL, where[1]))
+            if plain is None:
+                continue
+            layer = plain
+        key = layer if len(layer) < 64 else hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if (key := (key, where) if isinstance(where, tuple) else key) in seen:
+            continue
+        seen.add(key)
         if where is not None:
             for start, kind, end in base_spans(layer):
                 first, last = origin(where, start, end)
                 found.add((first, kind, last))
-        inner: list[tuple[str, Layer | tuple[int, int]]] = []
         for pattern, decode, mark in ((PERCENT, percent, "%"), (UNICODE, unicode_escapes, "\\u")):
             if mark in layer and (got := undone(layer, pattern, decode, where)):
-                inner.append((got.text, where if isinstance(where, tuple) else got))
+                work.append((got.text, where if isinstance(where, tuple) else got, False))
         for m in BASE64.finditer(layer):
-            if (plain := unwrapped(m[0])) is not None:
-                inner.append((plain, origin(where, m.start(), m.end())))
-        for plain, came in inner:
-            if (key := (plain, came) if isinstance(came, tuple) else plain) not in seen:
-                seen.add(key)
-                work.append((plain, came))
+            work.append((m[0], origin(where, m.start(), m.end()), True))
+        if "\n" in layer or "\r" in layer or "\\n" in layer:
+            for start, end, run in wrapped(layer):
+                work.append((run, origin(where, start, end), True))
     return found
 
 
@@ -255,5 +326,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in KINDS]
+    counts = [count(k) for k in KINDS[:PARTIAL]]
     return spans.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))

@@ -531,3 +531,37 @@ def test_secret_layers():
         assert plain(clean) in ("", plain(clean)) and not secret_scan.scan(clean)[0] or "a" * 16 in clean
     assert secret_scan.redacted(f"x {secret} y 0123456789abcdef0") == "x [SECRET] y [SECRET]"
     assert secret_scan.redacted(None) is None and secret_scan.redacted("fine") == "fine"
+
+
+def test_secrets_below_every_layer(monkeypatch):
+    import base64
+    import gzip
+    import zlib
+
+    secret = "password=correcthorsebattery"
+    plain = lambda t: secret_scan.joined(secret_scan.scan(t)[1])
+    coded = lambda data: base64.b64encode(data).decode()
+    for data in (b"some words\n" * 1_700_000 + secret.encode(), ("x" + "é" * 9_000_000 + " " + secret).encode()):
+        run = coded(zlib.compress(data, 9))
+        assert f"assign:2:{2 + len(run)}" in plain(f"a {run} b").split(",")  # runs of hex digits come up in it too
+    run = coded(gzip.compress(b"first member ") + gzip.compress(secret.encode()))
+    assert plain(f"a {run} b") == f"assign:2:{2 + len(run)}"
+    deep = secret.encode()
+    for _ in range(40):
+        deep = gzip.compress(deep, mtime=0)
+    run = coded(deep)
+    assert plain(f"a {run} b") == f"assign:2:{2 + len(run)}"
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + " " + secret + " tail"
+    for data in (text.encode(), gzip.compress(text.encode())):
+        for width in (64, 76):
+            for gap in ("\n", "\r\n", "\n  ", "\\n"):
+                lines = coded(data)
+                wrapped = gap.join(lines[k : k + width] for k in range(0, len(lines), width))
+                for before, after in (("", ""), ("see\n", "\nthe end"), ("data:", " end")):
+                    got = secret_scan.scan(before + wrapped + after)[1]
+                    assert any(k == 0 and s >= len(before) and e <= len(before) + len(wrapped) and e - s > 200 for s, k, e in got), (width, gap, before)
+                    assert secret not in secret_scan.redacted(before + wrapped + after)
+    monkeypatch.setattr(secret_scan, "MOST_INFLATED", 1 << 20)
+    run = coded(zlib.compress(b"some words\n" * 200_000 + secret.encode(), 9))
+    assert f"partial:2:{2 + len(run)}" in plain(f"a {run} b").split(",") and secret_scan.redacted(f"a {run} b") == "a [SECRET] b"
