@@ -1,14 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
 Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends; one of more than ``piece``
-words counts as consecutive pieces of that many words, so that a long passage always holds several. A
+words counts as consecutive pieces of ``window`` words at most, cut behind words that the text itself
+chooses: a passage is cut alike whatever stands before it, but for its first and last ``window`` words, so one
+of over 50 words within a sentence always holds three whole pieces. A
 span is a run of consecutive sentences, ``run`` of them at least and ``least_words`` words in all, and no
 longer than it must be: one begins at each sentence and one ends at each, so that the spans inside a
 repeated passage cover it to its last sentence, however short its sentences are. A span's key is a
-128-bit hash of its sentences with their white space evened out. Keys are counted over all documents with
-map-side combining, which also finds each key's first place (by document id, then position); a join on
-the key, whose hot keys the adaptive skew join splits, gives every span that is not the first of its
-kind. Sentences that such a span covers are removed, with the white space behind them.
+128-bit hash of its sentences with their white space evened out. The first halves of the keys are counted over
+all documents with map-side combining, and a join on them leaves the spans that may repeat. Of these, whole keys
+are counted, which also finds each key's first place (by document id, then position); a second join, on the key, gives
+every span that is not the first of its kind. The adaptive skew join splits hot keys in both. Sentences that such a span covers are removed, with the white space behind them.
 
 Null ids come last in order. Rows equal in id and text are one document: their spans are no repeats of
 each other, and all of them get the same result. Null texts stay null and have no sentence; a text
@@ -19,7 +21,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +34,24 @@ SENTENCE_END = re.compile(r"[.!?]\s+|\n\s*")
 WORD_GAP = re.compile(r"\s+")
 
 
-def sentences(text: str, piece: int = 25) -> Iterator[tuple[int, int, list[str]]]:
+def cuts(words: list[str], window: int) -> list[int]:
+    """The number of words before each cut: the word of least hash among any ``window`` in a row ends a piece."""
+    ranks = list(map(crc32, " ".join(words).encode("utf-8", "surrogatepass").split(b" ")))
+    found, at, least = [], -1, 0
+    for new in range(window - 1, len(ranks)):
+        if at <= new - window:
+            part = ranks[new : new - window : -1] if new >= window else ranks[new::-1]
+            least = min(part)
+            at = new - part.index(least)
+        elif ranks[new] < least:
+            at, least = new, ranks[new]
+        else:
+            continue
+        found.append(at + 1)
+    return found
+
+
+def sentences(text: str, piece: int = 16, window: int = 12) -> Iterator[tuple[int, int, list[str]]]:
     """(start, start of what follows, words) of each sentence or piece."""
     at = 0
     for m in chain(SENTENCE_END.finditer(text), (None,)):
@@ -41,9 +61,9 @@ def sentences(text: str, piece: int = 25) -> Iterator[tuple[int, int, list[str]]
                 yield at, after, words
             else:
                 start, gaps = at, [g.end() for g in WORD_GAP.finditer(text, at + len(text[at:end]) - len(text[at:end].lstrip()), end)]
-                for k in range(0, len(words), piece):
-                    stop = gaps[k + piece - 1] if k + piece < len(words) else after
-                    yield start, stop, words[k : k + piece]
+                for k, n in pairwise([0, *(c for c in cuts(words, window) if c < len(words)), len(words)]):
+                    stop = gaps[n - 1] if n < len(words) else after
+                    yield start, stop, words[k:n]
                     start = stop
             at = after
 
@@ -111,6 +131,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = base.mapInArrow(keys, f"_id {id_type.simpleString()}, _doc long, _at long, _k1 long, _k2 long")
     place = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_doc", "_at")
+    twice = durable(found.groupBy("_k1").agg(F.count("*").alias("_n")).where("_n > 1").select("_k1"))
+    found = durable(found.join(twice, "_k1", "left_semi"))
     again = durable(found.groupBy("_k1", "_k2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     later = found.join(again, ["_k1", "_k2"]).where(~((F.col("_doc") == F.col("_first._doc")) & (F.col("_at") == F.col("_first._at"))))
     places = later.groupBy("_doc").agg(F.collect_set("_at").alias("_places"))

@@ -92,6 +92,22 @@ def test_long_passages_leave_later_documents(docs, texts):
     assert kept[inside + 2].startswith("other start.") and len(kept[inside + 2].split()) < 20
 
 
+def test_passages_within_a_long_sentence_leave(spark):
+    rng = random.Random(41)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    docs, passages = [], []
+    for k in range(30):
+        passage = [word() for _ in range(51 + k % 10)]
+        passages.append(passage)
+        for n in (0, 1 + k, 40):
+            docs.append((len(docs), " ".join([*(word() for _ in range(n)), *passage, *(word() for _ in range(k % 7))])))
+    got = {r.doc_id: r for r in span_dedup.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        kept = set(got[i].text.split())
+        left = sum(w in kept for w in passages[i // 3])
+        assert got[i].text == t if i % 3 == 0 else got[i].n_removed >= 3 and left <= 24
+
+
 def test_sentences_cover_their_text():
     rng = random.Random(1)
     for _ in range(300):
