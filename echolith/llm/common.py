@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for durable tables: ``spark.checkpoint.dir``, or one of our own where it is unset, as in tests."""
+    """The folder for durable tables, which all machines share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one machine (tests) gets a folder of its own and any other one fails.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="echolith-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="echolith-"))
     return sc.getCheckpointDir()
 
 

@@ -9,13 +9,14 @@ rest by sampling without replacement: each document draws u in (0, 1) from a dig
 is -ln(u) / weight, and documents are taken in the order of their keys until their sizes fill the rest.
 The document on the boundary is taken if that leaves the source nearer to its target.
 
-A source is never sorted in one place: keys are binned, bins are summed, a prefix sum over the bins
-finds the one bin on the boundary, and only its documents are sorted, by (source, bin). The number of
-bins follows the source's documents (``per_bin`` each), so a bin does not grow with the data.
+A source is never sorted in one place. Keys are kept as logarithms, ``ln(-ln(u)) - ln(weight)``: the bulk of any
+set of weights from 1e-6 up spreads over them, and none runs out of digits. Each step of ``scales`` bins them more finely, and
+only in the one bin on the boundary that the step before found, so a step sums a bounded number of bins a source
+(about 50 << 10 at first, 4,096 later), whatever the data. What is left in the last boundary bin is summed by (key, id,
+size); of rows equal in all three, which are interchangeable, a number is taken, counted by where they are stored.
 
 Nulls: a null text has size 0, a null source is a source of its own (last in order), a null id draws
-the digest of the empty string. Documents of equal key are ordered by id, then size; rows that repeat
-an id in all that counts are interchangeable. Sources of size 0 get target 0. An empty table gives no
+the digest of the empty string. Documents of equal key are ordered by id (nulls first), then size. Sources of size 0 get target 0. An empty table gives no
 rows. Extra columns are ignored.
 """
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from echolith.llm.common import durable, n_words, table
 
 WEIGHTS = (5, 2, 1)
+#: Binary digits behind the point of a key that each step bins by.
+SCALES = (10, 22, 34)
 
 
 def letter_share(text: Column) -> Column:
@@ -61,31 +64,82 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return level.withColumn("target", target).select("_key", "source_size", "docs", "target")
 
 
-def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, per_bin: int = 500) -> DataFrame:
+def lean(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table with a row a source, to be broadcast if it is seen to have ``most`` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def epochs_and_rest() -> tuple[Column, Column]:
+    epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
+    return epochs, F.col("target") - epochs * F.col("source_size")
+
+
+def bin_of(scale: int) -> Column:
+    return F.floor(F.col("_z") * float(1 << scale))
+
+
+def cuts(base: DataFrame, goal: DataFrame, scales: tuple[int, ...]) -> DataFrame:
+    """``_key, _bin, _cut, _n, _copies`` for each source that has a rest.
+
+    ``_bin`` is the bin (of the last scale) in which the rest ends, ``_cut`` the last ``(_z, _id, _size)`` in it that is taken,
+    if any, ``_n`` how many rows have it and ``_copies`` how many of them are taken.
+    """
+    bounds = goal.select("_key", epochs_and_rest()[1].alias("_rest"), F.lit(0).cast("long").alias("_before")).where("_rest > 0")
+    inside, on = base, ["_key"]
+
+    def summed(at: str) -> DataFrame:
+        """The groups of ``at`` in the open bin, with the sizes before and up to each."""
+        sums = inside.groupBy(*on, at).agg(F.sum("_size").alias("_sum"), F.count("*").alias("_n"))
+        upto = F.sum("_sum").over(Window.partitionBy("_key").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        known = sums.join(lean(bounds), on).withColumn("_upto", F.col("_before") + upto)
+        return known.withColumn("_before", F.col("_upto") - F.col("_sum"))
+
+    for scale in scales:
+        inside = inside.withColumn("_next", bin_of(scale))
+        bounds = durable(summed("_next").where("_before < _rest and _upto >= _rest").select("_key", F.col("_next").alias("_bin"), "_rest", "_before"))
+        on = ["_key", "_bin"]
+        inside = base.withColumn("_bin", bin_of(scale)).join(lean(bounds.select(*on)), on, "left_semi")
+    inside = inside.withColumn("_cut", F.struct("_z", "_id", "_size"))
+    # A document is taken if what stands before it and half of it fit.
+    each = F.col("_cut._size")
+    copies = F.when(each > 0, F.least(F.col("_n"), F.floor((F.col("_rest") - F.col("_before") + each / 2) / each))).otherwise(F.col("_n"))
+    last = summed("_cut").select("_key", F.struct("_cut", "_n", copies.cast("long").alias("_copies")).alias("_m")).where("_m._copies > 0")
+    return bounds.select("_key", "_bin").join(last.groupBy("_key").agg(F.max("_m").alias("_m")), "_key", "left").select("_key", "_bin", "_m.*")
+
+
+def beyond(base: DataFrame, partial: DataFrame) -> DataFrame:
+    """``_key, _row`` of the rows that tie with a cut and are not taken; ties are numbered part by part, as they are stored."""
+    tied = F.struct("_z", "_id", "_size").eqNullSafe(F.col("_cut"))
+    ties = base.join(lean(partial), "_key").where(tied).select("_key", "_row", "_copies", F.shiftright("_row", 33).alias("_part"))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = ties.groupBy("_key", "_part").agg(F.count("*").alias("_n")).select("_key", "_part", F.coalesce(before, F.lit(0)).alias("_earlier"))
+    within = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_row"))
+    return ties.join(parts, ["_key", "_part"]).withColumn("_nth", within + F.col("_earlier")).where("_nth > _copies").select("_key", "_row")
+
+
+def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, scales: tuple[int, ...] = SCALES) -> DataFrame:
     """``id_col, source, size, source_size, target, taken`` for every row of ``docs``.
 
-    ``weight`` is a positive column of ``docs`` (by default the share of letters). The only thing that
-    the driver sees is the number of documents.
+    ``weight`` is a positive column of ``docs`` (by default the share of letters); weights below 1e-6 count as that.
     """
     text, source = F.col(text_col), F.col(source_col)
     weight = F.greatest(F.coalesce((letter_share(text) if weight is None else weight).cast("double"), F.lit(0.0)), F.lit(1e-6))
     base = docs.select(F.col(id_col).alias("_id"), source.alias("_source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_key"), n_words(text).alias("_size"), weight.alias("_w"))
-    # exp(-key): in (0, 1), larger when taken earlier, and about evenly spread, so it bins well.
-    base = durable(base.withColumn("_early", F.pow(draw(F.col("_id")), 1 / F.col("_w"))).drop("_w"))
+    z = F.log(-F.log(draw(F.col("_id")))) - F.log("_w")
+    base = durable(base.select("_id", "_source", "_key", "_size", z.alias("_z"), F.monotonically_increasing_id().alias("_row")))
     goal = durable(targets(base, weights, most))
-    n_bins = max(1, -(-(goal.agg(F.sum("docs")).first()[0] or 0) // per_bin))
-    binned = base.withColumn("_bin", F.floor((1 - F.col("_early")) * n_bins))
-    sums = binned.groupBy("_key", "_bin").agg(F.sum("_size").alias("_sum"))
-    earlier = F.sum("_sum").over(Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
-    epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
-    bins = sums.withColumn("_before", F.coalesce(earlier, F.lit(0))).join(goal, "_key").withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    within = Window.partitionBy("_key", "_bin").orderBy(F.col("_early").desc(), "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("_before") + F.sum("_size").over(within)
-    placed = binned.join(bins.drop("_sum", "docs"), ["_key", "_bin"]).withColumn("_upto", upto)
-    nearer = (F.col("_upto") - F.col("_rest")) <= (F.col("_rest") - F.col("_upto") + F.col("_size"))
-    again = F.when((F.col("_rest") > 0) & nearer, 1).otherwise(0)
-    taken = (F.col("_size") * (F.col("_epochs") + again)).cast("long")
-    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
+    found = durable(cuts(base, goal, scales))
+    known = base.join(lean(goal.drop("docs")), "_key").join(lean(found), "_key", "left")
+    if not (partial := found.where("_copies < _n")).isEmpty():
+        known = known.join(beyond(base, partial).withColumn("_beyond", F.lit(True)), ["_key", "_row"], "left")
+    else:
+        known = known.withColumn("_beyond", F.lit(None).cast("boolean"))
+    epochs, rest = epochs_and_rest()
+    own = bin_of(scales[-1])
+    first = (own < F.col("_bin")) | ((own == F.col("_bin")) & (F.struct("_z", "_id", "_size") <= F.col("_cut")) & F.col("_beyond").isNull())
+    again = F.when((rest > 0) & first, 1).otherwise(0)
+    taken = (F.col("_size") * (epochs + again)).cast("long")
+    return known.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a plain model on small fixtures, with the odd rows in every one of them."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -143,7 +144,7 @@ def mix_model(rows, most=3):
 def test_mix(docs, empty):
     rows = rows_of(docs)
     sizes, target = mix_model(rows)
-    got = source_mix.mix(docs, per_bin=4).collect()
+    got = source_mix.mix(docs, scales=(0, 1)).collect()
     again = source_mix.mix(docs.repartition(5)).collect()
     assert Counter(got) == Counter(again)
     taken = Counter()
@@ -166,6 +167,39 @@ def test_mix_prefers_weight(spark):
     assert got[True] > 1.2 * got.get(False, 0)
 
 
+def test_mix_of_light_weights_and_ties(spark):
+    """Half of the rows at the floor of the weights, and a third of all with one id: all in the order of the model."""
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "repeat('w ', cast(if(id % 3 = 0, 4, 1 + id % 7) as int)) as text", "if(id % 2 = 0, 'a', 'b') as source", "case when id % 3 = 0 then 1.0 when id % 4 < 2 then 0.0 else 0.7 end as w").repartition(7)
+    rows = [(r.doc_id, r.source, r.size, r.taken, r.target, r.source_size) for r in source_mix.mix(df, F.col("w")).collect()]
+    weights = {r.doc_id: max(r.w, 1e-6) for r in df.where("doc_id is not null").collect()}
+    assert Counter((i, s, n) for i, s, n, *_ in rows) == Counter((r.doc_id, r.source, len(r.text.split())) for r in df.collect())
+
+    def key(i):
+        u = (int(hashlib.md5((str(i) if i is not None else "").encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+        return math.log(-math.log(u)) - math.log(weights.get(i, 1.0))
+
+    assert len({key(i) for i, *_ in rows}) == 4001
+    for source in "ab":
+        own = [r for r in rows if r[1] == source]
+        epochs = int(own[0][4] // own[0][5])
+        left, want = own[0][4] - epochs * own[0][5], Counter()
+        for i, n in sorted(((i, n) for i, _, n, *_ in own), key=lambda x: (key(x[0]), x[1])):
+            want[i, n * (epochs + (n / 2 <= left))] += 1
+            left -= n
+        assert Counter((r[0], r[3]) for r in own) == want
+    heavy = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'w w w' as text", "if(id % 3 = 0, 'a', 'b') as source")
+    sums = {r.source: r for r in source_mix.mix(heavy).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()}
+    assert all(abs(r.n - r.t) <= 2 for r in sums.values())
+
+
+def test_no_bin_of_the_mix_is_hot(spark):
+    """Half of the weights at 0.1: with the digits of a table of this size no bin is far above the median."""
+    df = spark.range(100_000).withColumn("w", F.expr("if(id % 2 = 0, 0.1, 0.9)"))
+    z = F.log(-F.log(source_mix.draw(F.col("id")))) - F.log("w")
+    sizes = [r["count"] for r in df.select(z.alias("_z")).groupBy(source_mix.bin_of(source_mix.SCALES[0])).count().collect()]
+    assert max(sizes) < 100_000 / 1000 and df.select(z.alias("z")).distinct().count() == 100_000
+
+
 # Token counts
 
 
@@ -207,8 +241,6 @@ def rules_model(t):
 
 
 def ratio_model(rows, good, buckets):
-    import math
-
     import xxhash
 
     def h64(x, seed=42):
