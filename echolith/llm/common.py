@@ -56,6 +56,33 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+#: Bits of a map of ids, and of one row of it (fixed by the functions that make it).
+MARKS, ROW = 1 << 25, 1 << 15
+
+
+def mark(value: Column, size: int = MARKS) -> Column:
+    """The bit that stands for a value."""
+    return F.pmod(F.xxhash64(value), F.lit(size))
+
+
+def bit_map(marks: DataFrame, at: str) -> DataFrame:
+    """``_row, _bits``: the bits ``at`` that a table has, in rows of 4 KiB."""
+    return marks.groupBy(F.floor(F.col(at) / ROW).alias("_row")).agg(F.bitmap_construct_agg(F.pmod(F.col(at), F.lit(ROW))).alias("_bits"))
+
+
+def with_likely(rows: DataFrame, ids: DataFrame, on: str = "_id") -> DataFrame:
+    """``rows`` with ``_likely``: true for all ids of a table, and for few other ones while the map is not full.
+
+    The map has ``MARKS / ROW`` rows of 4 KiB at most, whatever the table, so it is broadcast.
+    """
+    bits = bit_map(ids.select(mark(F.col(on)).alias("_mark")), "_mark")
+    at = F.pmod(mark(F.col(on)), F.lit(ROW))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    met = rows.withColumn("_bits_row", F.floor(mark(F.col(on)) / ROW)).join(F.broadcast(bits.withColumnRenamed("_row", "_bits_row")), "_bits_row", "left")
+    likely = F.col(on).isNotNull() & (F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")), F.lit(0)) == 1)
+    return met.withColumn("_likely", likely).drop("_bits_row", "_bits")
+
+
 def rows(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as Python tuples, a slice of a batch at a time."""
     for batch in batches:
@@ -64,14 +91,18 @@ def rows(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
-def packed(items: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Tuples as Arrow batches of at most ``size`` rows."""
+def packed(items: Iterable[tuple], schema: pa.Schema, size: int = 2000, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Tuples as Arrow batches of at most ``size`` rows, and of little more than ``most`` bytes and characters."""
     held: list[tuple] = []
+    weight = 0
     for item in items:
         held.append(item)
-        if len(held) >= size:
+        for x in item:
+            if isinstance(x, (bytes, str)):
+                weight += len(x)
+        if len(held) >= size or weight >= most:
             yield _batch(held, schema)
-            held = []
+            held, weight = [], 0
     if held:
         yield _batch(held, schema)
 

@@ -7,7 +7,7 @@ whole numbers and never depend on their order. A document's score is the mean ov
 kept if no base rule fails it and its score reaches the threshold. The counts come from one pass that
 ends in at most ``buckets`` rows a task; the ratios, ``buckets`` numbers, stand in the plan of the
 second pass as a constant. That pass shuffles nothing. Only texts that may be trusted are shuffled to meet
-their ids: a bit map of fixed size (``MARKS`` bits, 4 MiB) of the hashes of the trusted ids lets the others by. It spares
+their ids: a bit map of fixed size (4 MiB) of the hashes of the trusted ids lets the others by. It spares
 fewer the fuller it is, and decides nothing: the join does.
 
 Nulls and empty texts have no word: every statistic is 0 and the base rules fail them. Repeated rows
@@ -20,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolith.llm.common import SPACE, durable, table, words
+from echolith.llm.common import SPACE, durable, table, with_likely, words
 
 WINDOW = 8
 SCALE = 1_000_000
-#: Bits of the map of trusted ids, and of one row of it (fixed by the functions that make it).
-MARKS, ROW = 1 << 25, 1 << 15
 
 
 def let(value: Column, body) -> Column:
@@ -71,24 +69,6 @@ def base_statistics(text: Column, hashes: Column) -> dict[str, Column]:
     }
 
 
-def mark(id_: Column) -> Column:
-    """The bit that stands for an id."""
-    return F.pmod(F.xxhash64(id_), F.lit(MARKS))
-
-
-def with_likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` with ``_likely``: true for all ids of a table, and for few other ones while the map is not full.
-
-    The map has ``MARKS / ROW`` rows of 4 KiB at most, whatever the table, so it is broadcast.
-    """
-    bits = ids.select(mark(F.col("_id")).alias("m")).groupBy(F.floor(F.col("m") / ROW).alias("_row")).agg(F.bitmap_construct_agg(F.pmod(F.col("m"), F.lit(ROW))).alias("_bits"))
-    at = F.pmod(mark(F.col("_id")), F.lit(ROW))
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-    met = rows.withColumn("_row", F.floor(mark(F.col("_id")) / ROW)).join(F.broadcast(bits), "_row", "left")
-    likely = F.col("_id").isNotNull() & (F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")), F.lit(0)) == 1)
-    return met.withColumn("_likely", likely).drop("_row", "_bits")
-
-
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16) -> Column:
     """A constant array with the scaled log ratio of every bucket."""
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -97,9 +77,10 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     marked = with_likely(base, good)
 
     def grams(rows: DataFrame, is_good: Column) -> DataFrame:
-        return rows.select(is_good.alias("_good"), F.explode(ngram_buckets(word_hashes(F.col("_text")), buckets)).alias("_b"))
+        hashed = rows.select(is_good.alias("_good"), word_hashes(F.col("_text")).alias("_h"))
+        return hashed.select("_good", F.explode(ngram_buckets(F.col("_h"), buckets)).alias("_b"))
 
-    met = marked.where("_likely").join(good.withColumn("_is", F.lit(1)), "_id", "left")
+    met = marked.where("_likely").join(good.withColumn("_is", F.lit(1)).hint("merge"), "_id", "left")
     both = grams(marked.where("not _likely"), F.lit(0)).union(grams(met, F.coalesce("_is", F.lit(0))))
     counts = both.groupBy("_b").agg(F.count("*").alias("_raw"), F.sum("_good").alias("_target"))
     all_ = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_b")).join(counts, "_b", "left").fillna(0)
