@@ -1,7 +1,7 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is taken in blocks of bounded size (``block_items`` items and ``block_words`` words), so
-what the workers hold never grows with the benchmark; each block runs against all documents, in one pass
+The benchmark is a stated set of queries. It is taken in blocks of bounded size (``block_items`` items and ``block_words``
+words), so what the workers hold never grows with the benchmark; each block's seeds join all documents, in one pass
 and without a shuffle. Every n-gram of an item is a seed, in a document's words and in every ``width``-th of
 them. A seed places the item, and the words around are aligned with it: matches score 2, mismatches and
 gaps -1. A pair is reported when the best local score reaches ``threshold`` of what the whole item would
@@ -12,6 +12,10 @@ With the defaults no pair is lost to the seeds. Score n of an item of n >= 5 wor
 are neighbours in both texts, an edit lies between each two, so m matches score m + 1 at most and m is
 n - 1 or n; all edits between them but one or two are then single words put in, which leaves pairs two places apart.
 
+A seed that many items hold, as those of a template do, meets each place of it in a document: the items are taken in ranges
+then, split until the seeds that are placed at once are ``PLACED`` at most or of one item. An n-gram's code is a number in 63 bits; ``width``
+and ``block_words`` for which it would not fit raise ``ValueError``.
+
 Words are runs of letters and digits, lowered. Items of fewer than ``least_words`` words (nulls and empty
 texts too) identify nothing and match nothing. Null texts match nothing; a null document or item id is
 reported as null. Repeated documents and items are reported each. Extra columns are ignored.
@@ -32,6 +36,8 @@ from echolith.llm.common import packed, rows, table
 
 WORDS = re.compile(r"[^\W_]+")
 MATCH, MISS, GAP = 2, -1, -1
+#: Seeds of a document that are placed at once.
+PLACED = 1 << 20
 
 
 def word_list(text: str | None) -> list[str]:
@@ -49,16 +55,20 @@ class Block:
     codes: np.ndarray  # sorted, distinct
     starts: np.ndarray  # of each code's entries below
     owners: np.ndarray  # item of an entry
-    offsets: np.ndarray  # place of the n-gram in it
+    offsets: np.ndarray  # place of the n-gram in it; entries of a code come by item
 
     def __post_init__(self) -> None:
         self.sizes = np.array([len(x) for x in self.items])
         self.begins, self.flat = np.cumsum(self.sizes) - self.sizes, np.concatenate(self.items)
+        #: Of each entry its code, by number, and its item, as one number.
+        self.keys = np.repeat(np.arange(len(self.codes)), np.diff(self.starts)) * len(self.items) + self.owners
 
     @classmethod
     def of(cls, found: list[tuple], width: int) -> Block:
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for _, words in found]
+        if (len(vocabulary) + 1) ** width >= 1 << 63:
+            raise ValueError(f"{width}-grams of {len(vocabulary)} words do not fit into a number: lower width or block_words")
         block = cls([i for i, _ in found], items, vocabulary, width, *(np.zeros(0, np.int64),) * 4)
         grams = [block.grams(x) for x in items]
         return block.with_entries(np.concatenate(grams), np.repeat(np.arange(len(items)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams]))
@@ -76,7 +86,7 @@ class Block:
         return np.where(known, code, -1)
 
     def with_entries(self, codes: np.ndarray, owners: np.ndarray, offsets: np.ndarray) -> Block:
-        order = np.argsort(codes, kind="stable")
+        order = np.lexsort((offsets, owners, codes))
         distinct, starts = np.unique(codes[order], return_index=True)
         return Block(self.ids, self.items, self.vocabulary, self.width, distinct, np.append(starts, len(codes)), owners[order], offsets[order])
 
@@ -100,20 +110,31 @@ class Block:
         there[numbers] = True  # -1 is the last
         return np.add.reduceat(there[self.flat], self.begins, dtype=np.int64)
 
-    def placed(self, numbers: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(item, where it would begin) of every seed in a text, ordered; of items that may reach the threshold."""
+    def placed(self, numbers: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, where it would begin) of every seed in a text, ordered, a range of items at a time; of items that may reach the threshold."""
         likely = self.shared(numbers) >= threshold * self.sizes
         if not likely.any():
-            return self.owners[:0], self.offsets[:0]
-        found = [self.found(numbers, step) for step in (1, 2)]
-        places, which = (np.concatenate(x) for x in zip(*found, strict=True))
-        sizes = self.starts[which + 1] - self.starts[which] if len(which) else which
-        entries = np.repeat(self.starts[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        owners, firsts = self.owners[entries], np.repeat(places, sizes) - self.offsets[entries]
-        owners, firsts = owners[likely[owners]], firsts[likely[owners]]
-        order = np.lexsort((firsts, owners))
-        return owners[order], firsts[order]
-
+            return
+        places, which = (np.concatenate(x) for x in zip(*(self.found(numbers, step) for step in (1, 2)), strict=True))
+        if not len(places):
+            return
+        keys, size = self.keys, len(self.items)
+        ranges = [(0, size)]
+        while ranges:
+            low, high = ranges.pop()
+            if not likely[low:high].any():
+                continue
+            starts, stops = np.searchsorted(keys, which * size + low), np.searchsorted(keys, which * size + high)
+            sizes = stops - starts
+            if high - low > 1 and sizes.sum() > PLACED:
+                ranges += [((low + high) // 2, high), (low, (low + high) // 2)]
+                continue
+            entries = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            owners, firsts = self.owners[entries], np.repeat(places, sizes) - self.offsets[entries]
+            owners, firsts = owners[likely[owners]], firsts[likely[owners]]
+            if len(owners):
+                order = np.lexsort((firsts, owners))
+                yield owners[order], firsts[order]
 
     def within(self, numbers: np.ndarray, owners: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
         """How many words of an item occur in a stretch of a text, for each of several items and stretches."""
@@ -148,9 +169,12 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 def hits(block: Block, text: str | None, threshold: float) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, first word, end) of each item that the text contains, by its best passage."""
     numbers = block.numbers(word_list(text))
-    owners, firsts = block.placed(numbers, threshold)
-    if not len(owners):
-        return
+    for owners, firsts in block.placed(numbers, threshold):
+        yield from aligned(block, numbers, owners, firsts, threshold)
+
+
+def aligned(block: Block, numbers: np.ndarray, owners: np.ndarray, firsts: np.ndarray, threshold: float) -> Iterator[tuple[int, float, int, int]]:
+    """Those of the items ``owners``, which their seeds place at ``firsts``, that a text contains."""
     #: An alignment that reaches the threshold has no more words put in than this.
     slacks = (2 * (1 - threshold) * block.sizes).astype(np.int64) + 1
     cuts = np.flatnonzero((np.diff(owners) != 0) | (np.diff(firsts) > slacks[owners[1:]])) + 1
