@@ -3,8 +3,8 @@
 Canonical key: the host's labels in reverse order, as an array. A rule's host and all its subdomains
 are then one interval of that order, and the intervals of rules nest. Pages and rules are dealt into ranges
 of (key, path, id) together and sorted; a sweep over the sorted range pushes a rule's host when its interval opens,
-pops it when the next key lies outside, and judges each page by the hosts on the stack: the longest
-host whose rules hold a prefix of the page's path, then the longest such path. Rules that opened before
+pops it when the next key lies outside, and judges each page by the hosts on the stack: of their rules whose
+path begins the page's path the longest wins, host and path together, and of equally long ones that of the longer host. Rules that opened before
 a range are found by equality of the prefixes of the range's first key, at most one for each label, so
 neither side is broadcast or gathered. One host may hold any share of the pages: a range ends within it
 by path and id.
@@ -64,11 +64,16 @@ class Sweep:
 
     def judge(self, key: list[str], path: str) -> tuple[str | None, str | None]:
         self.settle(key)
-        for _, paths, sizes in reversed(self.stack):
+        best, found = -1, (None, None)
+        for own, paths, sizes in reversed(self.stack):
+            host = sum(map(len, own)) + len(own) - 1
             for n in sizes:
-                if n <= len(path) and (found := paths.get(path[:n])):
-                    return found
-        return None, None
+                if host + n <= best:
+                    break
+                if n <= len(path) and path[:n] in paths:
+                    best, found = host + n, paths[path[:n]]
+                    break
+        return found
 
 
 def apply_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -125,7 +130,7 @@ with p as (
 ), r(verdict, h, p) as (
   values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), hit as (
-  select page_id, max_by(h || p, length(h || p)) as rule, max_by(verdict, length(h || p)) as verdict
+  select page_id, max_by(h || p, length(h || p)*1000000 + length(h)*2) as rule, max_by(verdict, length(h || p)*1000000 + length(h)*2 + (verdict = 'block')::int) as verdict
   from q join r on (q.host = r.h or ends_with(q.host, '.' || r.h)) and starts_with(q.path, r.p)
   group by page_id
 )
