@@ -9,8 +9,8 @@ such choice of segments and each bit of it, with that bit deleted; an equality j
 meets every linking pair, and the join's own condition verifies the distance. A pair shares many
 variants, so only the first choice of segments that fits it lets it through: each link leaves the join
 once. Copies never enter the index: it holds distinct fingerprints. With 3 segments an entry has 64
-variants of 20 to 21 bits; (6, 3) has 640 of 31 bits and is meant for more than about a hundred
-million distinct fingerprints. Both give the same links.
+variants of 20 to 21 bits, with 3 of 6 taken together 640 of 31 bits; the number of distinct fingerprints chooses
+(``MOST_OF_THREE``). Both give the same links.
 
 Null texts count as empty. A text without words has fingerprint zero, which links like any other.
 Repeated rows share their fingerprint and component. A null id takes part in links but is never a
@@ -30,6 +30,8 @@ from echolith.llm.common import durable, packed, rows, table
 from echolith.llm.components import components
 
 SEED = 42
+#: Distinct fingerprints up to which three segments are the cheaper cut: some 50 share a variant by chance there.
+MOST_OF_THREE = 50_000_000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -103,14 +105,16 @@ def links(nodes: DataFrame, fp: str = "_fp", distance: int = 4, segments: int =
     return a.join(b, meets & (F.bit_count(x) <= distance) & (F.shiftright(F.col("a.tag").cast("int"), 6) == first) & alone).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def rooted(prints: DataFrame, distance: int, segments: int, together: int) -> DataFrame:
+def rooted(prints: DataFrame, distance: int, segments: int | None, together: int) -> DataFrame:
     """``_fp, _root`` for every distinct fingerprint; the root stands for its component."""
-    nodes = prints.select("_fp").distinct()
+    nodes = durable(prints.select("_fp").distinct())
+    if segments is None:
+        segments, together = (3, 1) if distance < 6 and nodes.count() <= MOST_OF_THREE else (6, 3)
     roots = components(links(nodes, "_fp", distance, segments, together), "a", "b")
     return durable(nodes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", F.coalesce("root", "_fp").alias("_root")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, segments: int = 3, together: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, segments: int | None = None, together: int = 1) -> DataFrame:
     """``id_col, fp long, component_id`` for every row; the component's id is its smallest id."""
     prints = durable(fingerprints(docs, id_col, text_col, width))
     least = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
@@ -120,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "_fp", "left").select(F.col("_id").alias(id_col), F.col("_fp").alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, segments: int = 3, together: int = 1) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, segments: int | None = None, together: int = 1) -> DataFrame:
     """One row of each group of near-duplicates, all columns: the one of smallest id (nulls last), then hash of the text."""
     with_hash = docs.select(F.struct(id_col, F.xxhash64(text_col).alias("t")).alias("_key"), F.col(text_col).alias("_text"))
     prints = durable(fingerprints(with_hash, "_key", "_text", width))
