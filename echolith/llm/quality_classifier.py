@@ -7,7 +7,8 @@ one Spark column, which scores every document beside its statistics. The trees a
 the driver, whose memory the bound keeps constant; everything else is one pass over the texts.
 
 Nulls and empty texts have statistics of 0 and are scored like any other. Labels whose quality is null
-are left out; an id with several labels counts with the largest. With no label, or one class only, every
+are left out; an id with several labels counts with the largest, one with several texts is learned from the first of them in
+order. With no label, or one class only, every
 score is the smoothed share of label 1. Repeated rows get equal scores. Ids, labels, languages and
 sources never enter a score. Extra columns are ignored.
 """
@@ -160,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     labelled = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     chosen = labelled.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_text").alias("_text"))
     names = list(statistics(F.lit("")))
     known = sorted(described(texts, "_text").select("_keep._y", *names).collect())
     x = np.array([r[1:] for r in known], float).reshape(len(known), len(names))
