@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from echolith.llm.common import durable, packed, rows, table
 
 #: Spans that a task sorts at once, and bytes of text whose spans make a range of keys.
-CHUNK = 400_000
+CHUNK = 200_000
 RANGE = 4 << 20
 SENTENCE_END = re.compile(r"[.!?]\s+|\n\s*")
 WORD_GAP = re.compile(r"\s+")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -54,37 +55,67 @@ def rows_of(docs):
 # Spans of sentences
 
 
+def sentence_model(text, piece=16, window=12):
+    """Words of each sentence; of a long one, of its pieces: a word ends a piece that had the least hash while some window was read."""
+    out = []
+    for part in re.split(r"(?<=[.!?])\s+|\n", text):
+        words = part.split()
+        if len(words) <= piece:
+            out += [words] if words else []
+            continue
+        ranks, chosen, ends = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], None, set()
+        for last in range(window - 1, len(words)):
+            first = last - window + 1
+            if chosen is None or chosen < first:
+                chosen = max(k for k in range(first, last + 1) if ranks[k] == min(ranks[first : last + 1]))
+            elif ranks[last] < ranks[chosen]:
+                chosen = last
+            ends.add(chosen + 1)
+        cuts = [0, *sorted(ends - {len(words)}), len(words)]
+        out += [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
 def spans_model(rows):
     order = sorted({(i is None, -1 if i is None else i, t) for i, t in rows if t is not None}, key=lambda x: (x[0], x[1]))
     first, gone = {}, defaultdict(set)
+    places = []
     for null, i, t in order:
-        units = [tuple(w) for *_, w in span_dedup.sentences(t)]
-        whole = {(a, b) for a in range(len(units)) for b in range(a + 3, min(len(units), a + 16) + 1) if sum(map(len, units[a:b])) >= 15}
-        for a, b in sorted((a, b) for a, b in whole if b == min(y for x, y in whole if x == a) or a == max(x for x, y in whole if y == b)):
-            part = tuple(units[a:b])
-            if first.setdefault(part, (i, t, a)) != (i, t, a):
-                gone[i, t].update(range(a, b))
+        units = [tuple(w) for w in sentence_model(t)]
+        whole = {(a, b) for a in range(len(units)) for b in range(a + 2, min(len(units), a + 16) + 1) if sum(map(len, units[a:b])) >= 15}
+        places += [(None if null else i, t, a, b, tuple(units[a:b])) for a, b in whole if b == min(y for x, y in whole if x == a) or a == max(x for x, y in whole if y == b)]
+    # Within a document spans come by their first sentence, then their length.
+    rank = {(None if null else i, t): k for k, (null, i, t) in enumerate(order)}
+    for i, t, a, b, part in sorted(places, key=lambda x: (rank[x[0], x[1]], x[2], x[3])):
+        if first.setdefault(part, (i, t, a, b)) != (i, t, a, b):
+            gone[i, t].update(range(a, b))
     return gone
 
 
 def test_span_dedup(docs, empty):
     rows = [(i, t) for i, t, _ in rows_of(docs)]
-    gone = spans_model([(i, t) for i, t in rows if i is not None])
+    gone = spans_model(rows)
     got = span_dedup.dedup_spans(docs).collect()
     assert len(got) == len(rows) and sum(len(x) for x in gone.values()) > 20
-    known = defaultdict(list)
-    for r in got:
-        known[r.doc_id].append(r)
+    want = []
     for i, t in rows:
-        for r in known[i] if i is not None else []:
-            assert r.n_removed == len(gone[i, t]) and (r.n_removed or r.text == t)
-            units = [] if t is None else list(span_dedup.sentences(t))
-            assert r.n_sentences == len(units)
-            if r.n_removed:
-                assert r.text.split() == [w for k, (*_, ws) in enumerate(units) if k not in gone[i, t] for w in ws]
+        units = [] if t is None else sentence_model(t)
+        cut = gone[i, t]
+        want.append((i, None if t is None else tuple(w for k, ws in enumerate(units) if k not in cut for w in ws), len(units), len(cut)))
+    assert Counter((r.doc_id, None if r.text is None else tuple(r.text.split()), r.n_sentences, r.n_removed) for r in got) == Counter(want)
+    assert {r.doc_id: r.text for r in got if not r.n_removed and r.doc_id is not None}.items() <= dict(rows).items()
     assert span_dedup.dedup_spans(empty).count() == 0
 
 
+def test_span_chunks_agree(docs, monkeypatch):
+    """Spans settled in chunks of every size and packed into any number of ranges: the same result."""
+    whole = Counter(span_dedup.dedup_spans(docs).collect())
+    for chunk, size in ((1, 100), (300, 1000), (10_000, 1 << 30)):
+        monkeypatch.setattr(span_dedup, "CHUNK", chunk)
+        monkeypatch.setattr(span_dedup, "RANGE", size)
+        assert Counter(span_dedup.dedup_spans(docs.repartition(2)).collect()) == whole
+
+
 def test_long_passages_leave_later_documents(docs, texts):
     kept = {r.doc_id: r.text for r in span_dedup.dedup_spans(docs).collect()}
     inside = [i for i in range(len(texts)) if texts[i] and "\nafter" in texts[i]][0]
@@ -275,6 +306,9 @@ def test_quality_rules(spark, docs, empty, texts):
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == rules_model(t)
             assert abs(r.score - score(t)) < 1e-5 and r.kept == (not r.base_failed and r.score >= -0.06)
     assert quality_rules.quality_rules(empty, trusted).count() == 0
+    ids = spark.range(3000).selectExpr("if(id = 5, null, id) as _id")
+    likely = {r._id for r in quality_rules.with_likely(ids, ids.where("_id % 3 = 0")).where("_likely").collect()}
+    assert {i for i in range(0, 3000, 3)} <= likely and None not in likely and len(likely) < 1020
     alone = quality_rules.quality_rules(docs, trusted.where("false"), buckets=64)
     assert alone.where("score <> 0").count() == 0 and alone.where("kept = base_failed").count() == 0
 
@@ -360,7 +394,7 @@ def judge_model(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     m = re.match(r"([^/?#]*)([^?#]*)", rest)
     host = m[1].translate({c: c + 32 for c in range(65, 91)})
-    fits = [(len(h), len(p), v == "block", h + p, v) for v, h, p in rules if h is not None and (host == h or host.endswith("." + h)) and m[2].startswith(p)]
+    fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if h is not None and (host == h or host.endswith("." + h)) and m[2].startswith(p)]
     best = max(fits) if fits else None
     return host, m[2], best and best[3], best[4] if best else "allow"
 
@@ -377,6 +411,20 @@ def test_url_filter(spark):
     for r in got:
         url = urls[r.page_id] if r.page_id is not None else "http://com/en/"
         assert (r.host, r.path, r.rule, r.verdict) == judge_model(url, rules)
+    # General rules, by the operator and by its own SQL.
+    import duckdb
+
+    more = [("block", "com", "/en/abcdefghijkl"), ("allow", "example.com", "/en/"), ("allow", "com", "/en/abcdefg"), ("block", "a.example.com", "/"), ("allow", "le.com", "/en/x"), ("block", "com", "/en/abc")]
+    paths = ["/en/abcdefghijklm", "/en/abcdefghi", "/en/abcd", "/en/", "/de/", "/en/x"]
+    urls = [f"http://{h}{p}" for h in ("com", "x.com", "example.com", "a.example.com", "b.a.example.com", "le.com") for p in paths]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {tuple(r) for r in url_filter.apply_rules(frame, spark.createDataFrame(more, "verdict string, host string, path string")).collect()}
+    assert got == {(k, *judge_model(u, more)) for k, u in enumerate(urls)}
+    con = duckdb.connect()
+    con.execute("create table pages as select unnest(range(len(u))) as page_id, unnest(u) as url from (select ?::varchar[] as u)", [urls])
+    values = ", ".join(str(x) for x in more)
+    sql = re.sub(r"values \(.*\)\n", f"values {values}\n", url_filter.ORACLE)
+    assert {tuple(r) for r in con.execute(f"select page_id, host, path, rule, verdict from ({sql})").fetchall()} == got
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert url_filter.apply_rules(pages, none).where("verdict <> 'allow'").count() == 0
     assert url_filter.apply_rules(pages.where("false"), none).count() == 0
@@ -400,8 +448,9 @@ def test_decontamination(spark, docs, empty):
         got = decontamination.contaminations(all_, bench, **how).collect()
         assert Counter((r.doc_id, r.item_id) for r in got) == Counter({(1000, 0): 4, (1001, 1): 1, (1002, 2): 1, (1004, 4): 1, (1004, 5): 1, (None, 6): 1})
     assert all(r.score == 1.0 for r in got if r.item_id in (0, 1, 4, 5, 6)) and all(0.5 <= r.score < 1 for r in got if r.item_id == 2)
-    clean = all_.where(decontamination.is_clean(all_, bench))
-    assert clean.count() == all_.count() - 6
+    odd = all_.selectExpr("*", "1 as _id", "'x' as _text")
+    clean = odd.where(decontamination.is_clean(odd, bench))
+    assert clean.columns == odd.columns and clean.count() == all_.count() - 6
     assert decontamination.contaminations(empty, bench).count() == 0 and decontamination.contaminations(docs, bench.where("false")).count() == 0
 
 
@@ -422,15 +471,49 @@ def test_edited_copies_are_found_beside_exact_ones(spark):
     assert docs.where(decontamination.is_clean(docs, bench)).count() == docs.count() - len(want)
 
 
-def test_no_pair_is_lost_before_the_alignment():
+def best_shares(words, items):
+    numbers = {}
+    number = lambda ws: np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64)
+    text = number(words)
+    return {k: decontamination.align(number(x), text)[0] / (2 * len(x)) for k, x in enumerate(items)}
+
+
+@pytest.mark.parametrize("most", [decontamination.PLACED, 40])
+def test_no_pair_is_lost_before_the_alignment(spark, monkeypatch, most):
+    """Short items of few words, of which half share a template: all pairs of texts and items, aligned whole."""
+    monkeypatch.setattr(decontamination, "PLACED", most)
     rng = random.Random(32)
-    for _ in range(400):
-        words = [[rng.choice("abcdefghijkl") for _ in range(rng.randint(5, 16))] for _ in range(4)]
-        block = decontamination.Block.of(list(enumerate(words)), 2)
-        text = [rng.choice("abcdefghijklxyz") for _ in range(rng.randint(1, 90))]
-        numbers = block.numbers(text)
-        best = {k: decontamination.align(x, numbers)[0] / (2 * len(x)) for k, x in enumerate(block.items)}
-        assert {k: s for k, s, *_ in decontamination.hits(block, " ".join(text), 0.5)} == {k: s for k, s in best.items() if s >= 0.5}
+    template = [rng.choice("abcdefghijkl") for _ in range(9)]
+    items = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 16))] for _ in range(60)]
+    items += [[*template, *(f"{rng.choice('qrstuvw')}{rng.randrange(9)}" for _ in range(rng.randint(3, 14)))] for _ in range(60)]
+    texts = [[rng.choice("abcdefghijklmnopqxyz") for _ in range(rng.randint(1, 90))] for _ in range(150)]
+    texts += [[*texts[k][:20], *(w if rng.random() < 0.75 else "changed" for w in items[rng.randrange(120)]), *texts[k][20:]] for k in range(100)]
+    want = {}
+    for d, words in enumerate(texts):
+        want |= {(d, k): s for k, s in best_shares(words, items).items() if s >= 0.5}
+    block = decontamination.Block.of(list(enumerate(items)), 2)
+    for d in range(len(texts)):
+        assert {k: s for k, s, *_ in decontamination.hits(block, " ".join(texts[d]), 0.5)} == {k: s for (own, k), s in want.items() if own == d}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminations(docs, bench).collect()}
+    assert {k: r.score for k, r in got.items()} == want and len(want) > 300
+    for (d, k), r in got.items():
+        assert r.passage.split() == texts[d][r.first_word : r.end_word]
+        assert best_shares(r.passage.split(), [items[k]])[0] == r.score
+
+
+def test_many_templated_items_take_bounded_steps(monkeypatch):
+    """A template of most of every item, many times in a text: seeds are placed some at a time, and codes must fit."""
+    monkeypatch.setattr(decontamination, "PLACED", 5000)
+    items = [["name", "the", "capital", "city", "of", "this", "land", f"x{k}"] for k in range(3000)]
+    block = decontamination.Block.of(list(enumerate(items)), 2)
+    numbers = block.numbers((items[7] + ["and"]) * 200)
+    parts = list(block.placed(numbers, 0.5))
+    assert max(len(o) for o, _ in parts) <= 5000 and len(np.unique(np.concatenate([o for o, _ in parts]))) == 3000
+    assert sorted(k for k, *_ in decontamination.hits(block, " ".join(items[7]), 0.5)) == list(range(3000))
+    with pytest.raises(ValueError, match="do not fit"):
+        decontamination.Block.of([(0, [f"w{k}" for k in range(40_000)])], 5)
 
 
 def test_alignment_is_smith_waterman():
@@ -519,8 +602,6 @@ def test_classifier(spark, docs, empty, texts):
     got = quality_classifier.classify(all_, labels)
     rows = got.collect()
     assert len(rows) == all_.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
-    import zlib
-
     known = {i: q for i, _, q in good + bad}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
     held = [r for r in rows if r.held_out and r.doc_id in known]
@@ -535,6 +616,55 @@ def test_classifier(spark, docs, empty, texts):
     assert len(quality_classifier.train(all_, labels, most_rows=40).rules) >= 1
 
 
+def statistics_model(t):
+    import regex
+
+    t, n = t or "", len(t or "")
+    w = WORD.findall(t)
+    lines = t.split("\n")
+    share = lambda kind: len(regex.findall(kind, t)) / n if n else 0.0
+    return {
+        "n_chars": n, "n_words": len(w), "word_len": sum(map(len, w)) / len(w) if w else 0.0, "distinct_words": len(set(w)) / len(w) if w else 0.0,
+        "lines": len(lines) / n if n else 0.0, "distinct_lines": len(set(lines)) / len(lines), "upper": share(r"\p{Lu}"), "lower": share(r"\p{Ll}"), "digits": share("[0-9]"),
+        "symbols": share(r"[#*$%&|<>@^~=+_{}\\]"), "stops": share("[.,;:]"), "cries": share("[!?]"), "other": share(r"[^\p{L}0-9\x09-\x0D\x20.,;:!?'\"-]"),
+        "short_words": len([x for x in re.findall(r"[^\x09-\x0D\x20]+", t) if len(x) <= 3]) / len(w) if w else 0.0,
+    }
+
+
+def test_statistics_and_compiled_rules(spark, docs, texts):
+    """The statistics by plain Python, and the compiled column by the rules themselves."""
+    names = list(quality_classifier.statistics(F.lit("")))
+    rows = quality_classifier.described(docs.select("doc_id", "text"), "text").select("_keep.doc_id", *names).collect()
+    for r in rows:
+        if r.doc_id is not None:
+            want = statistics_model(texts[r.doc_id])
+            assert all(abs(r[n] - want[n]) < 1e-9 for n in names), (r.doc_id, {n: (r[n], want[n]) for n in names})
+    rng = np.random.default_rng(6)
+    x = np.array([[r[n] for n in names] for r in rows], float)
+    rules = tuple(quality_classifier.Rule(tuple((n, bool(rng.integers(2)), float(x[rng.integers(len(x)), names.index(n)])) for n in rng.choice(names, rng.integers(1, 4), replace=False).tolist()), float(rng.normal())) for _ in range(40))
+    model = quality_classifier.Model(0.3, rules)
+    total = 0.3 + sum(r.weight * r.holds(names, x) for r in rules)
+    got = quality_classifier.scored(docs.select("doc_id", "text"), model).select("_keep.doc_id", "_score").collect()
+    assert np.allclose(sorted(r._score for r in got), sorted(1 / (1 + np.exp(-total))), atol=1e-12)
+    for part in (r.parts for r in rules):
+        held = np.array([all((row[n] <= cut) == below for n, below, cut in part) for row in rows])
+        assert (quality_classifier.Rule(part).holds(names, x) == held).all()
+
+
+def test_training_rows_are_bounded_by_ids(spark):
+    """Ids that come again and again add no rows to those fitted on."""
+    docs = spark.range(4000).selectExpr("id % 40 as doc_id", "concat('word ', id % 40) as text")
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    found = []
+    original = quality_classifier.fit
+    quality_classifier.fit = lambda x, y, names: found.append(len(y)) or original(x, y, names)
+    try:
+        quality_classifier.train(docs, labels)
+    finally:
+        quality_classifier.fit = original
+    assert found and found[0] <= 40
+
+
 # Secrets
 
 
