@@ -22,11 +22,12 @@ def read_audio(spark: SparkSession, path: str, glob: str | None = None, recursiv
 
 def decode_audio(audio: DataFrame, target: str = "s16", first: int = 0, count: int | None = None, strict: bool = False, key: str = "path") -> DataFrame:
     """``key, frame_idx, samples`` of every readable file; ``strict`` fails on the first that is not."""
-    if strict:
-        status = tables.audio_files(audio, key)
-        checked = status.select(key, F.when(F.col("status") != "ok", F.raise_error(F.concat(F.col(key).cast("string"), F.lit(": "), F.col("status")))).alias("_e"))
-        audio = audio.join(checked.where("_e is null"), key).drop("_e")
-    return tables.audio_frames(audio, target, first, count, key)
+    return tables.audio_frames(audio, target, first, count, key, strict)
+
+
+def decode_mpeg(audio: DataFrame, target: str = "s16", first: int = 0, count: int | None = None, strict: bool = False, key: str = "path") -> DataFrame:
+    """``key, frame_idx, samples`` of MPEG audio of Layers I and II, as s16 or f32."""
+    return tables.mpeg_audio(audio, target, first, count, key, strict)
 
 
 def encode_audio(frames: DataFrame, kind: str = "s16", rate: int = 44100, container: str = "riff", key: str = "path") -> DataFrame:
@@ -34,11 +35,12 @@ def encode_audio(frames: DataFrame, kind: str = "s16", rate: int = 44100, contai
     return encode_streams(frames, kind, rate, container, key)
 
 
-def write_audio(frames: DataFrame, path: str, kind: str = "s16", rate: int = 44100, container: str = "riff", key: str = "stream") -> None:
-    """One file a stream (columns ``key, frame_idx, samples``), named by it."""
+def write_audio(frames: DataFrame, path: str, kind: str = "s16", rate: int = 44100, container: str = "riff", key: str = "stream", mode: str = "append") -> None:
+    """One file a stream (columns ``key, frame_idx, samples``), named by it; ``mode`` is append or overwrite."""
     named = frames.select(F.col(key).cast("string").alias("stream"), "frame_idx", "samples")
     frames.sparkSession.dataSource.register(WavDataSource)
-    named.repartition("stream").write.format("wav").option("path", path).option("kind", kind).option("rate", rate).option("container", container).mode("append").save()
+    sorted_ = named.repartition("stream").sortWithinPartitions("stream", "frame_idx")
+    sorted_.write.format("wav").option("path", path).option("kind", kind).option("rate", rate).option("container", container).mode(mode).save()
 
 
 def register(spark: SparkSession) -> None:

@@ -203,6 +203,49 @@ def bytes_to_uint(data: Column, at: int, size: int, big: bool = False) -> Column
     return F.conv(digits, 16, 10).cast("long")
 
 
+def bytes_to_int(data: Column, at: int, size: int, big: bool = False) -> Column:
+    """A signed number of up to 8 bytes from a binary column."""
+    if size == 8:
+        order = range(8) if big else range(7, -1, -1)
+        return F.conv(F.concat(*(F.hex(F.substring(data, at + 1 + k, 1)) for k in order)), 16, -10).cast("long")
+    return signed(bytes_to_uint(data, at, size, big), 8 * size)
+
+
+def bytes_to_u64(data: Column, at: int, big: bool = False) -> Column:
+    """An unsigned number of 8 bytes, as a decimal."""
+    order = range(8) if big else range(7, -1, -1)
+    return F.conv(F.concat(*(F.hex(F.substring(data, at + 1 + k, 1)) for k in order)), 16, 10).cast("decimal(20,0)")
+
+
+def bytes_to_f32(data: Column, at: int, big: bool = False) -> Column:
+    """A 32-bit float from a binary column in either byte order, exactly."""
+    u = bytes_to_uint(data, at, 4, big)
+    sign = F.when(F.shiftright(u, 31) == 1, _d(-1)).otherwise(_d(1))
+    exponent, fraction = F.shiftright(u, 23).bitwiseAND(F.lit(255)), u.bitwiseAND(F.lit(0x7FFFFF)).cast("double") / _d(1 << 23)
+    special = F.when(fraction == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    small, normal = sign * fraction * _d(2.0**-126), sign * (_d(1) + fraction) * F.pow(_d(2), (exponent - 127).cast("double"))
+    return F.when(exponent == 255, special).when(exponent == 0, small).otherwise(normal).cast("float")
+
+
+def swap64(x: Column) -> Column:
+    """The eight bytes of a long in the other order."""
+    digits = F.lpad(F.hex(x.cast("long")), 16, "0")
+    return F.conv(F.concat(*(F.substring(digits, 15 - 2 * k, 2) for k in range(8))), 16, -10).cast("long")
+
+
+# Pseudo-random numbers of the multiplicative generator modulo 2^31 - 1
+
+
+def lcg(state: Column) -> Column:
+    """The number behind ``state`` in the sequence."""
+    return F.pmod(state.cast("long") * 48271, F.lit(2147483647)).cast("int")
+
+
+def lcg_unit(number: Column) -> Column:
+    """A number of the sequence as a double from 0 to 1."""
+    return number.cast("double") / _d(2147483647)
+
+
 def bits(data: Column, first: int, count: int) -> Column:
     """``count`` bits, most significant first, from bit ``first`` of a number of 32 bits."""
     return F.shiftright(data.cast("long"), 32 - first - count).bitwiseAND(F.lit((1 << count) - 1))

@@ -45,6 +45,11 @@ def integers(raw: np.ndarray, width: int, big: bool) -> np.ndarray:
     return out >> (64 - 8 * width)
 
 
+def little(data: bytes, width: int) -> bytes:
+    """Big-endian numbers of ``width`` bytes as little-endian ones."""
+    return np.frombuffer(data[: len(data) - len(data) % width], np.uint8).reshape(-1, width)[:, ::-1].tobytes()
+
+
 def native(audio: Audio, data: bytes) -> tuple[str, np.ndarray]:
     """The kind of a file's samples (u8, s16, s24, s32, f32, f64, wide or s16 from a companded code) and their values."""
     width, raw = audio.bits_per_sample // 8, np.frombuffer(data, np.uint8)
@@ -100,6 +105,8 @@ def to_s32(kind: str, x: np.ndarray, width: int = 0) -> np.ndarray:
     return (x.astype(np.int64) << {"s16": 16, "s24": 8, "s32": 0}[kind]).astype(np.int32)
 
 
+#: ADPCM blocks that are decoded at once.
+BLOCKS = 4096
 TARGETS = {"s16": to_s16, "f32": to_f32, "s32": to_s32}
 
 
@@ -112,16 +119,17 @@ def decode(audio: Audio, content: bytes, target: str = "s16", first: int = 0, co
     if audio.status != "ok" or first >= last:
         return np.zeros((0, max(1, audio.channels)), {"s16": np.int16, "f32": np.float32, "s32": np.int32}[target])
     if audio.tag in (MS_ADPCM, IMA_ADPCM):
-        size = frames_per_block(audio)
-        blocks = range(first // size, -(-last // size))
-        parts = []
-        for b in blocks:
-            at = audio.data_pos + b * audio.block_align
-            got = decode_block(audio, content[at : min(at + audio.block_align, audio.data_pos + audio.data_size)])
-            parts.append(got)
-            if len(got) < size:
+        size, parts = frames_per_block(audio), []
+        start, stop = first // size, -(-last // size)
+        for b in range(start, stop, BLOCKS):
+            places = (audio.data_pos + k * audio.block_align for k in range(b, min(b + BLOCKS, stop)))
+            got = decode_blocks(audio, [content[at : min(at + audio.block_align, audio.data_pos + audio.data_size)] for at in places])
+            # What follows a block that cannot be read is not given.
+            short = next((k + 1 for k, x in enumerate(got) if len(x) < size), None)
+            parts += got[:short]
+            if short:
                 break
-        pcm = np.concatenate(parts)[first - blocks[0] * size : last - blocks[0] * size]
+        pcm = np.concatenate(parts)[first - start * size : last - start * size]
         return TARGETS[target]("s16", pcm)
     size = audio.frame_size
     at = audio.data_pos + first * size
@@ -138,46 +146,71 @@ def frames_per_block(audio: Audio) -> int:
     return (audio.block_align - 4 * audio.channels) * 2 // audio.channels + 1
 
 
-def decode_block(audio: Audio, block: bytes) -> np.ndarray:
-    out = (ms_block if audio.tag == MS_ADPCM else ima_block)(block, audio.channels)
-    return np.array(out, np.int16).reshape(-1, audio.channels)
+def decode_blocks(audio: Audio, blocks: list[bytes]) -> list[np.ndarray]:
+    """The frames of each block as (frames, channels); blocks of one length are decoded side by side."""
+    decoder, out = ms_blocks if audio.tag == MS_ADPCM else ima_blocks, [np.zeros((0, audio.channels), np.int16)] * len(blocks)
+    sizes: dict[int, list[int]] = {}
+    for k, block in enumerate(blocks):
+        sizes.setdefault(len(block), []).append(k)
+    for n, members in sizes.items():
+        good, pcm = decoder(np.frombuffer(b"".join(blocks[k] for k in members), np.uint8).reshape(len(members), n), audio.channels)
+        for k, found in zip(np.array(members)[good].tolist(), pcm, strict=True):
+            out[k] = found
+    return out
+
+
+def words_of(blocks: np.ndarray, first: int, count: int, step: int = 2) -> np.ndarray:
+    """Signed 16-bit numbers from the head of each block, ``step`` bytes apart."""
+    at = first + step * np.arange(count)
+    return (blocks[:, at].astype(np.int64) | blocks[:, at + 1].astype(np.int8).astype(np.int64) << 8)
 
 
-def ms_block(block: bytes, channels: int) -> list[int]:
-    """Interleaved samples of one MS-ADPCM block; a bad predictor index gives none."""
+def ms_blocks(blocks: np.ndarray, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which MS-ADPCM blocks can be read, and the frames of those; a bad predictor index gives none."""
     head = 7 * channels
-    if len(block) < head or max(block[:channels]) >= len(MS_COEF):
-        return []
-    rest = np.frombuffer(block[channels:head], "<i2").astype(int).tolist()
-    coef = [MS_COEF[block[c]].tolist() for c in range(channels)]
-    delta, late, early = rest[:channels], rest[channels : 2 * channels], rest[2 * channels :]
-    out = [*early, *late]
-    state = [[late[c], early[c], delta[c]] for c in range(channels)]
-    for k, nibble in enumerate(n for byte in block[head:] for n in (byte >> 4, byte & 15)):
-        s, (c1, c2) = state[k % channels], coef[k % channels]
-        step = nibble - 16 if nibble & 8 else nibble
-        sample = max(-32768, min(32767, (s[0] * c1 + s[1] * c2 >> 8) + step * s[2]))
-        s[0], s[1], s[2] = sample, s[0], max(16, int(MS_ADAPT[nibble]) * s[2] >> 8)
-        out.append(sample)
-    return out[: len(out) - len(out) % channels]
-
-
-def ima_block(block: bytes, channels: int) -> list[int]:
-    """Interleaved samples of one IMA block; a bad step index gives none."""
-    head = 4 * channels
-    if len(block) < head or any(block[4 * c + 2] > 88 for c in range(channels)):
-        return []
-    tracks = []
-    for c in range(channels):
-        p, i = int.from_bytes(block[4 * c : 4 * c + 2], "little", signed=True), block[4 * c + 2]
-        track = [p]
-        for at in range(head + 4 * c, len(block), 4 * channels):
-            for byte in block[at : at + 4]:
-                for n in (byte & 15, byte >> 4):
-                    step = int(IMA_STEPS[i])
-                    d = (step >> 3) + (step >> 2 if n & 1 else 0) + (step >> 1 if n & 2 else 0) + (step if n & 4 else 0)
-                    p = max(-32768, min(32767, p - d if n & 8 else p + d))
-                    i = max(0, min(88, i + int(IMA_INDEX[n])))
-                    track.append(p)
-        tracks.append(track)
-    return [x for frame in zip(*tracks, strict=False) for x in frame]
+    if blocks.shape[1] < head:
+        return np.zeros(len(blocks), bool), np.zeros((0, 0, channels), np.int16)
+    good = (blocks[:, :channels] < len(MS_COEF)).all(axis=1)
+    blocks = blocks[good]
+    coef, rest = MS_COEF[blocks[:, :channels]], words_of(blocks, channels, 3 * channels)
+    delta, late, early = rest[:, :channels], rest[:, channels : 2 * channels], rest[:, 2 * channels :]
+    body = blocks[:, head:].astype(np.int64)
+    steps = 2 * body.shape[1] // channels
+    codes = np.stack([body >> 4, body & 15], axis=2).reshape(len(blocks), 2 * body.shape[1])
+    codes = codes[:, : steps * channels].reshape(len(blocks), steps, channels)
+    out = np.empty((len(blocks), codes.shape[1] + 2, channels), np.int16)
+    out[:, 0], out[:, 1] = early, late
+    for t in range(codes.shape[1]):
+        code = codes[:, t]
+        guess = (late * coef[..., 0] + early * coef[..., 1] >> 8) + (code - (code & 8) * 2) * delta
+        late, early = np.clip(guess, -32768, 32767), late
+        delta = np.maximum(16, MS_ADAPT[code] * delta >> 8)
+        out[:, t + 2] = late
+    return good, out
+
+
+def ima_blocks(blocks: np.ndarray, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which IMA blocks can be read, and the frames of those; a bad step index gives none."""
+    head, group = 4 * channels, 4 * channels
+    if blocks.shape[1] < head:
+        return np.zeros(len(blocks), bool), np.zeros((0, 0, channels), np.int16)
+    index = blocks[:, 2:head:4].astype(np.int64)
+    good = (index <= 88).all(axis=1)
+    blocks, index = blocks[good], index[good]
+    value, body = words_of(blocks, 0, channels, 4), blocks[:, head:].astype(np.int64)
+    # Each channel has four bytes in turn; the channel with the fewest ends the block.
+    whole, left = divmod(body.shape[1], group)
+    n = 4 * whole + max(0, min(4, left - 4 * (channels - 1)))
+    groups = whole + (left > 0)
+    padded = np.pad(body, ((0, 0), (0, groups * group - body.shape[1]))).reshape(len(blocks), groups, channels, 4)
+    tracks = padded.transpose(0, 1, 3, 2).reshape(len(blocks), 4 * groups, channels)[:, :n]
+    codes = np.stack([tracks & 15, tracks >> 4], axis=2).reshape(len(blocks), 2 * n, channels)
+    out = np.empty((len(blocks), 2 * n + 1, channels), np.int16)
+    out[:, 0] = value
+    for t in range(2 * n):
+        code, step = codes[:, t], IMA_STEPS[index]
+        change = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
+        value = np.clip(np.where(code & 8, value - change, value + change), -32768, 32767)
+        index = np.clip(index + IMA_INDEX[code], 0, 88)
+        out[:, t + 1] = value
+    return good, out

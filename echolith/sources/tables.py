@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from echolith.functions import headers
-from echolith.sources.codecs import decode, decode_block, frames_per_block
+from echolith.sources.codecs import BLOCKS, decode, decode_blocks, frames_per_block, little
 from echolith.sources.containers import Audio, parse
 from echolith.sources.mpeg import frames, open_stream
-from echolith.sources.rows import from_content
+from echolith.sources.mpeg_audio import decoded
+from echolith.sources.rows import from_content, pcm_from
 
 VALUE = {"s16": "smallint", "s32": "int", "f32": "float"}
 FILES = "container string, format_tag int, channels int, sample_rate bigint, avg_bytes bigint, block_align int, bits_per_sample int, valid_bits int, channel_mask bigint, sub_format binary, data_pos bigint, data_size bigint, total_pcm_frames bigint, big_endian boolean, status string"
@@ -116,12 +117,41 @@ def _frame_rows(content: bytes, target: str, first: int, count: int | None) -> I
         yield first + k, frame
 
 
-def audio_frames(df: DataFrame, target: str = "s16", first: int = 0, count: int | None = None, key: str = "path") -> DataFrame:
+def audio_frames(df: DataFrame, target: str = "s16", first: int = 0, count: int | None = None, key: str = "path", strict: bool = False) -> DataFrame:
     """``key, frame_idx, samples``: PCM frames [first, first + count) of every file, as s16, s32 or f32.
 
-    The bounds go into the decoder, which reads the bytes of those frames only (whole blocks for ADPCM).
+    The bounds go into the decoder, which reads the bytes of those frames only (whole blocks for ADPCM). ``strict``
+    fails on the first file that cannot be read, in the same pass.
     """
-    return from_content(df, key, f"frame_idx bigint, samples array<{VALUE[target]}>", lambda c: _frame_rows(c, target, first, count))
+
+    def work(rows: list[dict]) -> Iterator[tuple]:
+        for row in rows:
+            audio = parse(row["content"], metadata=False)
+            if strict and audio.status != "ok":
+                raise ValueError(f"{row[key]}: {audio.status}")
+            yield row[key], first, decode(audio, row["content"], target, first, count)
+
+    return pcm_from(df, key, VALUE[target], ("content",), work)
+
+
+def mpeg_audio(df: DataFrame, target: str = "s16", first: int = 0, count: int | None = None, key: str = "path", strict: bool = False) -> DataFrame:
+    """``key, frame_idx, samples``: PCM frames [first, first + count) of MPEG audio of Layers I and II, as s16 or f32.
+
+    Tags are left out, and nothing far before ``first`` is decoded. Layer III gives no rows; ``strict`` fails on
+    the first file that is no MPEG audio or of Layer III.
+    """
+
+    def work(rows: list[dict]) -> Iterator[tuple]:
+        for row in rows:
+            s = open_stream(row["content"])
+            layer = next((h.layer for *_, h, _ in frames(row["content"], s.start, s.end)), 0) if s.status == "ok" else 0
+            if strict and layer not in (1, 2):
+                raise ValueError(f"{row[key]}: {s.status if s.status != 'ok' else 'Layer III is not decoded'}")
+            if layer in (1, 2):
+                for at, pcm in decoded(row["content"], s.start, s.end, target, first, count):
+                    yield row[key], at, pcm
+
+    return pcm_from(df, key, VALUE[target], ("content",), work)
 
 
 def audio_samples(df: DataFrame, target: str = "s16", first: int = 0, count: int | None = None, key: str = "path") -> DataFrame:
@@ -141,6 +171,20 @@ def raw_data(df: DataFrame, key: str = "path", first: int = 0, count: int | None
     return from_content(df, key, "raw binary", rows, size=16)
 
 
+def native_data(df: DataFrame, key: str = "path", first: int = 0, count: int | None = None) -> DataFrame:
+    """``key, raw``: the bytes of frames [first, first + count) in the file's own encoding, little-endian; none of ADPCM."""
+
+    def rows(content: bytes) -> Iterator[tuple]:
+        a = parse(content, metadata=False)
+        if a.status == "ok" and a.tag not in (headers.MS_ADPCM, headers.IMA_ADPCM):
+            last = a.total_pcm_frames if count is None else min(a.total_pcm_frames, first + count)
+            raw = content[a.data_pos + first * a.frame_size : min(a.data_pos + last * a.frame_size, a.data_pos + a.data_size)]
+            width = a.frame_size // a.channels
+            yield (little(raw, width) if a.big_endian and width > 1 else raw,)
+
+    return from_content(df, key, "raw binary", rows, size=16)
+
+
 def pcm_bytes(df: DataFrame, target: str = "s16", big: bool = False, key: str = "path", first: int = 0, count: int | None = None) -> DataFrame:
     """``key, pcm``: the frames converted to ``target`` as interleaved bytes in the byte order asked for."""
 
@@ -162,14 +206,17 @@ def adpcm_frames(df: DataFrame, key: str = "path", partitions: int | None = None
     blocks = known.where(F.length("data") > 0).select(key, "block_align", "channels", "tag", "frames", F.posexplode(parts).alias("block", "bytes"))
     dealt = blocks.repartition(partitions, key, "block") if partitions else blocks.repartition(key, "block")
 
-    def decoded(data: bytes, block: int, align: int, channels: int, tag: int, total: int) -> Iterator[tuple]:
-        a = Audio(format_tag=tag, channels=channels, block_align=align)
-        first = block * frames_per_block(a)
-        for k, frame in enumerate(decode_block(a, data).tolist()):
-            if first + k < total:
-                yield first + k, frame
-
-    return from_content(dealt, key, "frame_idx bigint, samples array<smallint>", decoded, ("bytes", "block", "block_align", "channels", "tag", "frames"))
+    def work(rows: list[dict]) -> Iterator[tuple]:
+        formats: dict[tuple, list[dict]] = {}
+        for row in rows:
+            formats.setdefault((row["tag"], row["channels"], row["block_align"]), []).append(row)
+        for (tag, channels, align), own in formats.items():
+            a = Audio(format_tag=tag, channels=channels, block_align=align)
+            for row, pcm in zip(own, decode_blocks(a, [r["bytes"] for r in own]), strict=True):
+                at = row["block"] * frames_per_block(a)
+                yield row[key], at, pcm[: max(0, row["frames"] - at)]
+
+    return pcm_from(dealt, key, "smallint", ("bytes", "block", "block_align", "channels", "tag", "frames"), work, BLOCKS)
 
 
 def _blocks(content: bytes) -> Iterator[tuple]:

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from echolith.sources.mpeg import HEADER, Header, frames
+from echolith.sources.mpeg import FREE_BYTES, HEADER, SYNC_FRAMES, Header, frames
 
+#: Bytes that a live stream holds back at most: a sync is believed by the frames behind it.
+KEPT = (SYNC_FRAMES + 2) * FREE_BYTES
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 FRAMES = "stream string, frame_no bigint, byte_pos bigint, frame_bytes int, channels int, sample_rate int, pcm_frames int"
 
@@ -23,7 +25,7 @@ def stream_files(spark: SparkSession, path: str, glob: str | None = None) -> Dat
 def live_mp3_frames(chunks: DataFrame) -> DataFrame:
     """Frames of live streams that arrive in pieces (columns ``stream, seq, bytes``), as soon as they are whole.
 
-    The state of a stream is its unread bytes, where they stand in it, and the frames so far. A frame is
+    The state of a stream is its unread bytes (``KEPT`` at most), where they stand in it, and the frames so far. A frame is
     given out once the header behind it has arrived, so a last frame waits for more. Pieces of one
     micro-batch may come in any order; over batches they must come in that of ``seq``.
     """
@@ -38,6 +40,8 @@ def live_mp3_frames(chunks: DataFrame) -> DataFrame:
                 break
             rows.append((key[0], count, base + pos, n, h.channels, h.rate, pcm))
             count, used = count + 1, pos + n
+        # A frame that begins before the last ``KEPT`` bytes had all that it needs to be believed.
+        used = max(used, len(data) - KEPT)
         state.update((data[used:], base + used, count))
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FRAMES.split(", ")])
@@ -46,7 +50,6 @@ def live_mp3_frames(chunks: DataFrame) -> DataFrame:
 
 
 
-
 def write_stream(frames: DataFrame, path: str, checkpoint: str, kind: str = "s16", rate: int = 44100, container: str = "riff"):
     """Starts a query that writes the streams of each micro-batch as files of their own, ``<stream>-<batch>.wav``.
 

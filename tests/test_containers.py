@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from echolith.operators.encode import CONTAINERS, encode_wav, pack
-from echolith.sources.codecs import decode, frames_per_block, ima_block, ms_block
+from echolith.sources import codecs
+from echolith.sources.codecs import decode, frames_per_block
 from echolith.sources.containers import Audio, extended, parse
 from echolith.sources.tables import adpcm_frames, audio_files, audio_frames, audio_metadata, audio_samples, read_files, register
 
@@ -147,14 +148,59 @@ def test_bad_metadata_is_dropped_or_raw():
     assert "bext" not in kinds and "smpl" not in kinds and "cue" in kinds
 
 
+def one_by_one(tag, block, channels):
+    """The samples of a block, one code after another."""
+    if tag == 2:
+        if max(block[:channels]) > 6:
+            return []
+        rest = struct.unpack(f"<{3 * channels}h", block[channels : 7 * channels])
+        delta, late, early = (list(rest[k * channels : (k + 1) * channels]) for k in range(3))
+        out = [*early, *late]
+        codes = [n for x in block[7 * channels :] for n in (x >> 4, x & 15)]
+        for k, n in enumerate(codes):
+            c = k % channels
+            c1, c2 = codecs.MS_COEF[block[c]].tolist()
+            new = max(-32768, min(32767, ((late[c] * c1 + early[c] * c2) >> 8) + (n - 16 if n > 7 else n) * delta[c]))
+            early[c], late[c], delta[c] = late[c], new, max(16, int(codecs.MS_ADAPT[n]) * delta[c] >> 8)
+            out.append(new)
+        return out[: len(out) // channels * channels]
+    tracks = []
+    for c in range(channels):
+        p, i = struct.unpack_from("<hB", block, 4 * c)
+        if i > 88:
+            return []
+        track = [p]
+        for at in range(4 * channels + 4 * c, len(block), 4 * channels):
+            for n in (n for x in block[at : at + 4] for n in (x & 15, x >> 4)):
+                step = int(codecs.IMA_STEPS[i])
+                d = (step >> 3) + (step >> 2) * (n & 1) + (step >> 1) * (n >> 1 & 1) + step * (n >> 2 & 1)
+                p = max(-32768, min(32767, p - d if n & 8 else p + d))
+                i = max(0, min(88, i + int(codecs.IMA_INDEX[n])))
+                track.append(p)
+        tracks.append(track)
+    return [x for frame in zip(*tracks, strict=False) for x in frame]
+
+
 def test_adpcm_blocks():
-    assert ima_block(struct.pack("<hBB", 100, 89, 0) + b"\x11", 1) == []
-    assert ms_block(bytes([7]) + bytes(6), 1) == []
-    assert ima_block(struct.pack("<hBB", 100, 0, 0) + b"\x07", 1) == [100, 111, 113]
-    assert ms_block(struct.pack("<Bhhh", 0, 16, 10, 5) + b"\x1f", 1) == [5, 10, 26, 10]
-    stereo = ima_block(struct.pack("<hBBhBB", 1, 0, 0, 2, 0, 0) + bytes(8), 2)
+    block = lambda tag, data, channels=1: codecs.decode_blocks(Audio(format_tag=tag, channels=channels, block_align=len(data)), [data])[0].ravel().tolist()
+    assert block(17, struct.pack("<hBB", 100, 89, 0) + b"\x11") == []
+    assert block(2, bytes([7]) + bytes(6)) == [] and block(2, b"") == []
+    assert block(17, struct.pack("<hBB", 100, 0, 0) + b"\x07") == [100, 111, 113]
+    assert block(2, struct.pack("<Bhhh", 0, 16, 10, 5) + b"\x1f") == [5, 10, 26, 10]
+    stereo = block(17, struct.pack("<hBBhBB", 1, 0, 0, 2, 0, 0) + bytes(8), 2)
     assert len(stereo) == 2 * 9 and stereo[:2] == [1, 2]
     assert frames_per_block(Audio(format_tag=17, channels=1, block_align=36)) == 65
+    rng = np.random.default_rng(8)
+    for tag, channels in ((2, 1), (2, 2), (17, 1), (17, 2)):
+        head = (7 if tag == 2 else 4) * channels
+        blocks = []
+        for _ in range(60):
+            data = bytearray(rng.integers(0, 256, head + int(rng.choice([0, 1, 5, 8, 32, 32, 32])), dtype=np.uint8).tobytes())
+            for c in range(channels):
+                data[c if tag == 2 else 4 * c + 2] = int(rng.integers(0, 8 if tag == 2 else 91))
+            blocks.append(bytes(data))
+        got = codecs.decode_blocks(Audio(format_tag=tag, channels=channels, block_align=head + 32), blocks)
+        assert [x.ravel().tolist() for x in got] == [one_by_one(tag, b, channels) for b in blocks]
 
 
 def test_tables_over_files(spark, tmp_path):

@@ -77,6 +77,43 @@ def test_asof_and_intervals(spark):
     assert K.differences(f, f.where("frame_idx <> 3"), ["path"], "frame_idx").count() >= 1
 
 
+def test_asof_over_cut_keys(spark):
+    import random
+
+    rng = random.Random(3)
+    targets = [(rng.choice("ab"), rng.randrange(1000)) for _ in range(300)] + [("c", 5)]
+    points = [(rng.choice("ab"), rng.randrange(1000)) for _ in range(25)]
+    t, p = spark.createDataFrame(targets, "k string, at int"), spark.createDataFrame(points, "k string, p int")
+    want = sorted((k, at, max((x for own, x in points if own == k and x <= at), default=-1)) for k, at in targets)
+    for width in (None, 10, 64, 5000):
+        got = K.asof_backward(t, p, "k", "at", "p", width).collect()
+        assert sorted((r.k, r.at, r.point.p if r.point else -1) for r in got) == want, width
+
+
+def test_labels_take_the_offset_of_their_point(spark):
+    schema = "path string, type string, text string, cue_point_id long, cue struct<points:array<struct<id:long,sample_offset:long>>>"
+    rows = [("a", "cue", None, None, ([(1, 10), (2, 20), (2, 30)],)), ("a", "label", "x", 1, None), ("a", "note", "y", 2, None), ("a", "region", "z", 7, None), ("a", "title", "t", None, None), ("b", "label", "w", 1, None), ("b", "cue", None, None, None)]
+    got = K.labels_with_cues(spark.createDataFrame(rows, schema)).collect()
+    assert {(r.path, r.type, r.text, r.sample_offset) for r in got} == {("a", "label", "x", 10), ("a", "note", "y", 30), ("a", "region", "z", None), ("b", "label", "w", None)} and len(got) == 4
+
+
+def test_live_state_stays_small(spark, tmp_path):
+    from echolith.streaming import ingest
+
+    source = tmp_path / "junk"
+    schema = "stream string, seq long, bytes binary"
+    pieces = [bytes(100_000)] * 6 + [FRAME * 30]
+    for k, piece in enumerate(pieces):
+        spark.createDataFrame([("s", k, bytearray(piece))], schema).coalesce(1).write.mode("append").parquet(str(source))
+    live = live_mp3_frames(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(source)))
+    q = live.writeStream.format("memory").queryName("live_junk").outputMode("append").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert [r.byte_pos for r in spark.table("live_junk").orderBy("frame_no").collect()] == [600_000 + 417 * k for k in range(29)]
+    state = spark.read.format("statestore").load(str(tmp_path / "cp3"))
+    sizes = [len(x) for r in state.collect() for x in str(r.value).split("bytearray")]
+    assert max(sizes) < 6 * ingest.KEPT
+
+
 def test_file_stream_equals_batch(spark, files, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.mp3").write_bytes(FRAME * 12)
