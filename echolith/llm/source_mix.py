@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolith.llm.common import durable, n_words, table
+from echolith.llm.common import durable, n_words, stored, table
 
 WEIGHTS = (5, 2, 1)
 #: Binary digits behind the point of a key that each step bins by.
@@ -117,16 +117,17 @@ def beyond(base: DataFrame, partial: DataFrame) -> DataFrame:
     return ties.join(parts, ["_key", "_part"]).withColumn("_nth", within + F.col("_earlier")).where("_nth > _copies").select("_key", "_row")
 
 
-def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, scales: tuple[int, ...] = SCALES) -> DataFrame:
+def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, scales: tuple[int, ...] = SCALES, keep: bool = False) -> DataFrame:
     """``id_col, source, size, source_size, target, taken`` for every row of ``docs``.
 
     ``weight`` is a positive column of ``docs`` (by default the share of letters); weights below 1e-6 count as that.
+    With ``keep`` the rows have all columns of ``docs`` and behind them the last four (in place of those of their names).
     """
     text, source = F.col(text_col), F.col(source_col)
     weight = F.greatest(F.coalesce((letter_share(text) if weight is None else weight).cast("double"), F.lit(0.0)), F.lit(1e-6))
-    base = docs.select(F.col(id_col).alias("_id"), source.alias("_source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_key"), n_words(text).alias("_size"), weight.alias("_w"))
+    base = docs.select(F.col(id_col).alias("_id"), source.alias("_source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_key"), n_words(text).alias("_size"), weight.alias("_w"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_keep")] if keep else []))
     z = F.log(-F.log(draw(F.col("_id")))) - F.log("_w")
-    base = durable(base.select("_id", "_source", "_key", "_size", z.alias("_z"), F.monotonically_increasing_id().alias("_row")))
+    base = stored(base.select("_id", "_source", "_key", "_size", z.alias("_z"), F.monotonically_increasing_id().alias("_row"), *(["_keep"] if keep else [])))
     goal = durable(targets(base, weights, most))
     found = durable(cuts(base, goal, scales))
     known = base.join(lean(goal.drop("docs")), "_key").join(lean(found), "_key", "left")
@@ -139,6 +140,9 @@ def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", t
     first = (own < F.col("_bin")) | ((own == F.col("_bin")) & (F.struct("_z", "_id", "_size") <= F.col("_cut")) & F.col("_beyond").isNull())
     again = F.when((rest > 0) & first, 1).otherwise(0)
     taken = (F.col("_size") * (epochs + again)).cast("long")
+    if keep:
+        own = [F.col("_size").alias("size"), F.col("source_size"), F.col("target"), taken.alias("taken")]
+        return known.select(*(F.col(f"_keep.`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "taken")), *own)
     return known.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 

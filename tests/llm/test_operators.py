@@ -571,6 +571,24 @@ def test_repeats_at_every_distance_and_in_large_groups(spark):
     assert got == want and sum(1 for v in want.values() if v) > 60
 
 
+def test_any_chunks_of_anchors_agree(spark, monkeypatch):
+    """Long texts cut into pieces, chunks of few anchors and many ranges, a line in every text: as by brute force."""
+    rng = random.Random(16)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = noise(60), noise(420)
+    texts = [noise(rng.randint(0, 300)) + line + noise(rng.randint(0, 300)) for _ in range(150)]
+    texts += [noise(700) + passage[k : k + 150 + 40 * k] + noise(700) for k in range(12)] + [passage[:199], passage[:200], noise(5000)]
+    texts += [texts[3], texts[3] + "x", texts[-1][2000:2600]]
+    want = {i: int(g.sum()) for i, g in enumerate(bytes_model([t.encode() for t in texts]))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for anchors, chunk, size in ((suffix_dedup.ANCHORS, suffix_dedup.CHUNK, suffix_dedup.RANGE), (1, 100, 50), (500, 1000, 1 << 30)):
+        monkeypatch.setattr(suffix_dedup, "ANCHORS", anchors)
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        monkeypatch.setattr(suffix_dedup, "RANGE", size)
+        got = {r.doc_id: sum(s["end"] - s["start"] for s in r.spans) for r in suffix_dedup.dedup_bytes(df).collect()}
+        assert got == want and sum(1 for v in want.values() if v) > 10
+
+
 def test_loser_tree_merges_and_knows_shared_prefixes():
     rng = random.Random(2)
     for k in (1, 2, 3, 7, 16):

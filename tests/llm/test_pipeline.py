@@ -1,5 +1,6 @@
 """The pipeline against plain Python, and the registered queries."""
 
+import os
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from echolith.llm import decontamination, quality_classifier, secret_scan
+from echolith.llm.common import shared_folder
 from tests.llm.test_operators import fingerprint_model, linked_model, mix_model, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,7 +76,10 @@ def test_pipeline_by_stages(spark, sf_dir):
         taken[r.source] += r.taken
     for s in sizes:
         assert abs(taken[s] - target[s]) <= max(len(WORD.findall(got[i].text or "")) for i in alive if got[i].source == s) / 2 + 1
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
     whole = corpus_pipeline.run(spark, path)
+    assert len([x for x in set(os.listdir(shared_folder(spark).removeprefix("file:"))) - before if x.endswith(".parquet")]) <= 2
+    assert all(r.text == got[r.doc_id].text and r.source == got[r.doc_id].source for r in whole.collect()) and set(columns) <= set(whole.columns)
     assert {(r.doc_id, r.taken) for r in whole.collect()} == {(i, r.taken) for i, r in last.items()}
 
 
