@@ -1,8 +1,9 @@
 """A pipeline for training data: each stage takes the documents that the one before it kept.
 
-``run`` writes every stage's result as Parquet to the shared folder and reads it back for the next.
-Texts are redacted in place, so a stage's columns are those of ``documents``; the last returns the mix,
-a row for each document that it takes and the number of words taken, repeats counted.
+``run`` writes every stage's result as Parquet to the shared folder and reads it back for the next, and removes it when
+that one is written: only the last stage's table stays. Texts are redacted in place, so a stage's columns are
+those of ``documents``; the last returns the corpus itself, a row for each document that the mix takes, with the number of
+words taken, repeats counted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolith.llm.common import stored, table
+from echolith.llm.common import new_path, remove, stored, table
 from echolith.llm.decontamination import is_clean
 from echolith.llm.quality_classifier import keep_good
 from echolith.llm.secret_scan import redact_secrets
@@ -45,7 +46,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes."""
-    return mix(docs).where("taken > 0")
+    return mix(docs, keep=True).where("taken > 0")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -61,7 +62,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = new_path(spark)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
