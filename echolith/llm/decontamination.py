@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,8 +92,7 @@ class Block:
         return Block(self.ids, self.items, self.vocabulary, self.width, distinct, np.append(starts, len(codes)), owners[order], offsets[order])
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
     def found(self, numbers: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Places whose n-gram is in the table, and which one it is."""
@@ -124,7 +124,10 @@ class Block:
             low, high = ranges.pop()
             if not likely[low:high].any():
                 continue
-            starts, stops = np.searchsorted(keys, which * size + low), np.searchsorted(keys, which * size + high)
+            if high - low == size:
+                starts, stops = self.starts[which], self.starts[which + 1]
+            else:
+                starts, stops = np.searchsorted(keys, which * size + low), np.searchsorted(keys, which * size + high)
             sizes = stops - starts
             if high - low > 1 and sizes.sum() > PLACED:
                 ranges += [((low + high) // 2, high), (low, (low + high) // 2)]
@@ -142,14 +145,18 @@ class Block:
         keys, sizes = np.sort(numbers[known] * size + known), self.sizes[owners]
         begins = np.cumsum(sizes) - sizes
         words = self.flat[np.repeat(self.begins[owners] - begins, sizes) + np.arange(sizes.sum())] * size
-        there = np.searchsorted(keys, words + np.repeat(lows, sizes)) < np.searchsorted(keys, words + np.repeat(highs, sizes))
+        # The first occurrence from where the stretch begins must lie before its end.
+        at = np.searchsorted(keys, words + np.repeat(lows, sizes))
+        there = np.append(keys, np.iinfo(np.int64).max)[at] < words + np.repeat(highs, sizes)
         return np.add.reduceat(there, begins, dtype=np.int64)
 
 
 def dense(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
     """Whether words of the item lie as close in the passage as in an alignment that reaches the threshold."""
     length = int((3 - 2 * threshold) * len(item)) + 1
-    sums = np.concatenate(([0], np.cumsum(np.isin(passage, item))))
+    own = np.zeros(max(int(item.max()), int(passage.max())) + 2, bool)
+    own[item] = True  # the last place, of words that no item has, stays empty
+    sums = np.concatenate(([0], np.cumsum(own[passage])))
     return (sums[length:] - sums[:-length]).max() >= threshold * len(item) if len(passage) > length else True
 
 
