@@ -3,9 +3,12 @@
 The suffix array is sparse and complete for its purpose. In every window of ``length`` bytes one byte is
 its anchor: the place of the smallest hash of ``GRAM`` bytes in it, the leftmost of equals. Equal windows
 have their anchors at equal offsets, so two windows can only be equal if suffixes that start at anchors
-share a prefix, and only suffixes whose first ``GRAM`` bytes occur twice take part.
+share a prefix. The windows of an anchor are of two classes, by how far they reach to its left: up to ``HALF`` bytes, and
+those have its next ``RIGHT`` bytes in common, or farther, and those have ``LEFT`` bytes before it and ``GRAM`` from it on in
+common. A class takes part if those bytes occur twice at anchors; a task keeps one of the equal ones it has and settles the others at
+once, so bytes that fill the corpus send one entry a chunk.
 
-Distributed merge sort: every task sorts the suffixes it has (cut where the windows of their anchor end),
+Distributed merge sort: every task sorts the suffixes it has (cut where the windows of their class end),
 front-codes them into runs (length of the prefix shared with the suffix before, and the rest) and deals
 the runs into ranges. A range's runs meet in one task, where a loser tree merges them; it keeps for each
 candidate the prefix it shares with the last winner and compares from there on only, so no known prefix
@@ -39,27 +42,45 @@ from echolith.llm.common import durable, packed, rows, table
 
 LENGTH = 200
 GRAM = 32
-#: Bytes hashed at once, and suffixes in a run: what a task holds does not grow with the data.
+#: Windows that reach ``HALF`` bytes or fewer to the left of their anchor have ``RIGHT`` bytes from it on in common, the
+#: others ``LEFT`` before it and ``GRAM`` from it on.
+HALF, RIGHT, LEFT = 100, 96, 96
+#: Bytes hashed at once, anchors sorted at once, and suffixes in a run: what a task holds does not grow with the data.
 CHUNK = 1 << 18
+ANCHORS = 200_000
 RUN = 40_000
+#: Bytes of text whose anchors make a range.
+RANGE = 8 << 20
 PAIRS = 24
+BASE = 0x9E3779B97F4A7C15
+
+
+def rolling(data: np.ndarray) -> dict[int, np.ndarray]:
+    """Polynomials of the 1, 2, 4, ... 128 bytes at each place, modulo 2^64."""
+    found, width, factor = {1: data.astype(np.uint64) + np.uint64(1)}, 1, BASE
+    while width < 128 and len(data) >= 2 * width:
+        low = found[width]
+        found[2 * width] = low[:-width] * np.uint64(factor) + low[width:]
+        width, factor = 2 * width, factor * factor % (1 << 64)
+    return found
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ x >> np.uint64(31)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the ``GRAM`` bytes at each place."""
-    out, width, factor = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    while width < GRAM:
-        out = out[:-width] * np.uint64(factor) + out[width:]
-        width, factor = 2 * width, factor * factor % (1 << 64)
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return out
+    return mixed(rolling(data)[GRAM])
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Anchors of the windows inside the pieces [starts, ends): hash, place, and first and last window."""
-    hashes, n = gram_hashes(data), len(data) - length + 1
+    """Anchors of the windows inside the pieces [starts, ends), by class: hash of what the class has in common, place of the
+    anchor, class, most and fewest bytes that its windows have to the left, and piece."""
+    sums, n = rolling(data), len(data) - length + 1
+    hashes = mixed(sums[GRAM])
     low = (hashes & ~np.uint64(0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
     width, wanted = 1, length - GRAM + 1
     while 2 * width <= wanted:
@@ -72,12 +93,17 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     inside = np.arange(n) + length <= ends[piece]
     window = np.flatnonzero(inside)
     if not len(window):
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 5)
     place = low[window]
     new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (piece[window[1:]] != piece[window[:-1]]))))
     last = np.append(new[1:], len(window)) - 1
-    at = place[new]
-    return hashes[at], at, window[new], window[last], piece[window[new]]
+    at, most, least, own = place[new], place[new] - window[new], place[new] - window[last], piece[window[new]]
+    near, far = least <= HALF, most > HALF
+    right = sums[64][at[near]] * np.uint64(pow(BASE, RIGHT - 64, 1 << 64)) + sums[RIGHT - 64][at[near] + 64]
+    left = sums[LEFT + GRAM][at[far] - LEFT]
+    join = lambda x, y: np.concatenate((x[near], y[far]))
+    kind = np.repeat([0, 1], [near.sum(), far.sum()])
+    return mixed(np.concatenate((right, left)) + kind.astype(np.uint64)), join(at, at), kind, join(np.minimum(most, HALF), most), join(least, np.maximum(least, HALF + 1)), join(own, own)
 
 
 def pieces(found: Iterator[tuple[object, bytes]], length: int = LENGTH) -> Iterator[list[tuple[object, int, bytes]]]:
@@ -97,14 +123,47 @@ def pieces(found: Iterator[tuple[object, bytes]], length: int = LENGTH) -> Itera
 
 
 def anchor_rows(found: Iterator[tuple[object, bytes]], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Arrays of hash, key and packed place: byte << 16 | most bytes to its left << 8 | fewest."""
+    """Arrays of hash, key and packed place: byte << 17 | class << 16 | most bytes to its left << 8 | fewest."""
     for held in pieces(found, length):
         sizes = np.array([len(x[2]) for x in held])
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
-        h, at, first, last, piece = anchors(data, starts, starts + sizes, length)
+        h, at, kind, most, least, piece = anchors(data, starts, starts + sizes, length)
         keys, shift = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64) - starts
-        yield h.view(np.int64), keys[piece], (at + shift[piece]) << 16 | (at - first) << 8 | (at - last)
+        yield h, keys[piece], (at + shift[piece]) << 17 | kind << 16 | most << 8 | least
+
+
+def chunk_rows(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray, ranges: int) -> Iterator[tuple]:
+    """Rows (range, entries, key, places) of one chunk: hashes that occur once in it with their places, those that occur
+    more often alone, and the places of the latter, which are settled here."""
+    by = np.argsort(hashes, kind="stable")
+    hashes, keys, places = hashes[by], keys[by], places[by]
+    new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+    firsts = np.flatnonzero(new)
+    many = np.diff(np.append(firsts, len(hashes))) > 1
+    settled = np.flatnonzero(np.repeat(many, np.diff(np.append(firsts, len(hashes)))))
+    if len(settled):
+        settled = settled[np.argsort(keys[settled], kind="stable")]
+        for part in np.split(settled, np.flatnonzero(np.diff(keys[settled])) + 1):
+            yield -1 - int(keys[part[0]]) % ranges, None, int(keys[part[0]]), places[part].tolist()
+    at = (hashes[firsts] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    for part in np.split(np.arange(len(firsts)), np.flatnonzero(np.diff(at)) + 1):
+        once, often = firsts[part[~many[part]]], firsts[part[many[part]]]
+        run = b"".join((np.uint32(len(once)).tobytes(), hashes[once].tobytes(), keys[once].tobytes(), places[once].tobytes(), hashes[often].tobytes()))
+        yield int(at[part[0]]), run, None, None
+
+
+def met_entries(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of the entries of one range whose hash another chunk has too."""
+    counts = [int.from_bytes(x[:4], "little") for x in found]
+    once = np.concatenate([np.frombuffer(x, "<u8", n, 4) for x, n in zip(found, counts, strict=True)])
+    often = np.unique(np.concatenate([np.frombuffer(x[4 + 24 * n :], "<u8") for x, n in zip(found, counts, strict=True)]))
+    _, which, n = np.unique(once, return_inverse=True, return_counts=True)
+    wanted = n[which] > 1
+    if len(often):
+        wanted |= often[np.minimum(np.searchsorted(often, once), len(often) - 1)] == once
+    keys, places = (np.concatenate([np.frombuffer(x, "<i8", n, 4 + 8 * n * k) for x, n in zip(found, counts, strict=True)]) for k in (1, 2))
+    return keys[wanted], places[wanted]
 
 
 def shared(a: bytes, b: bytes, at: int) -> int:
@@ -128,7 +187,7 @@ def shared_left(a: bytes, b: bytes) -> int:
 def runs(found: list[tuple[bytes, bytes, int, int]], ranges: int) -> Iterator[tuple]:
     """Rows (range, run, key, start, end) of one sorted, front-coded run, and of copies settled here.
 
-    ``found`` has suffix (its gram's hash first), left bytes, key and packed place.
+    ``found`` has suffix (the hash of its group first), left bytes, key and packed place.
     """
     found.sort()
     blocks: dict[int, list] = {}
@@ -141,7 +200,7 @@ def runs(found: list[tuple[bytes, bytes, int, int]], ranges: int) -> Iterator[tu
         settled = n - k > 1
         if settled:
             for _, _, own, place in found[k:n]:
-                byte = place >> 16
+                byte = place >> 17
                 yield -1 - own % ranges, None, own, byte - len(left), byte + len(suffix) - 8
         blocks.setdefault(int.from_bytes(suffix[:8]) * ranges >> 64, []).append((suffix, left, settled, key, at))
         k = n
@@ -237,7 +296,7 @@ def repeated(group: list[tuple], length: int = LENGTH) -> Iterator[tuple[int, in
         if w:
             for settled, key, at in same[c]:
                 if not settled:
-                    yield key, (at >> 16) - len(c[1]), (at >> 16) + len(c[0]) - 8
+                    yield key, (at >> 17) - len(c[1]), (at >> 17) + len(c[0]) - 8
     if len(order) == 1 or all(whole):
         return
     marks: dict[int, set[int]] = {}
@@ -269,7 +328,7 @@ def repeated(group: list[tuple], length: int = LENGTH) -> Iterator[tuple[int, in
         if not whole[i]:
             _, key, at = same[order[i]][0]
             for n in lefts:
-                yield key, (at >> 16) - n, (at >> 16) - n + length
+                yield key, (at >> 17) - n, (at >> 17) - n + length
 
 
 def merged_spans(found: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -308,13 +367,50 @@ def _settle(part: pd.DataFrame) -> pd.DataFrame:
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """``_key, _spans`` for the rows of ``keyed`` (``_key, _id, _data``) that hold a repeated string."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in anchor_rows(rows(batches, "_key", "_data")):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["gram", "key", "at"])
+    dealt = max(64, (keyed.agg(F.sum(F.octet_length("_data"))).first()[0] or 0) // RANGE)
 
-    marked = keyed.select("_key", "_data").mapInArrow(mark, "gram long, key long, at long")
-    twice = marked.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    wanted = durable(marked.join(twice, "gram").groupBy(F.col("key").alias("_key")).agg(F.collect_set("at").alias("_at")))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chunks() -> Iterator[tuple]:
+            held, size = [], 0
+            for parts in anchor_rows(rows(batches, "_key", "_data")):
+                held.append(parts)
+                size += len(parts[0])
+                if size >= ANCHORS:
+                    yield from chunk_rows(*map(np.concatenate, zip(*held, strict=True)), dealt)
+                    held, size = [], 0
+            if size:
+                yield from chunk_rows(*map(np.concatenate, zip(*held, strict=True)), dealt)
+
+        yield from packed(chunks(), pa.schema([("range", pa.int64()), ("run", pa.binary()), ("key", pa.int64()), ("places", pa.list_(pa.int64()))]), 500)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(keys, places) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int64())], names=["key", "at"])
+
+        def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            keys, places = met_entries(held) if len(held) > 1 else ((), ())
+            for k in range(0, len(keys), 20_000):
+                yield batch(keys[k : k + 20_000], places[k : k + 20_000])
+
+        held, keys, settled, at = [], [], [], None
+        for range_, run, key, places in rows(batches, "range", "run", "key", "places"):
+            if range_ != at:
+                yield from close(held)
+                held, at = [], range_
+            if run is not None:
+                held.append(run)
+            else:
+                keys += [key] * len(places)
+                settled += places
+            if len(keys) > 20_000:
+                yield batch(keys, settled)
+                keys, settled = [], []
+        yield from close(held)
+        yield batch(keys, settled)
+
+    marked = keyed.select("_key", "_data").mapInArrow(mark, "range long, run binary, key long, places array<long>")
+    met = marked.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "key long, at long")
+    wanted = durable(met.groupBy(F.col("key").alias("_key")).agg(F.collect_set("at").alias("_at")))
     ranges = max(64, (wanted.agg(F.sum(F.size("_at"))).first()[0] or 0) // 4000)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,9 +420,10 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
             held: list[tuple] = []
             for key, _, data, places in rows(batches, "_key", "_id", "_data", "_at"):
                 for at in places:
-                    byte, most, least = at >> 16, at >> 8 & 255, at & 255
-                    gram = hashlib.blake2b(data[byte : byte + GRAM], digest_size=8).digest()
-                    held.append((gram + data[byte : byte + LENGTH - least], data[byte - most : byte], key, at))
+                    byte, kind, most, least = at >> 17, at >> 16 & 1, at >> 8 & 255, at & 255
+                    common = b"b" + data[byte - LEFT : byte + GRAM] if kind else b"a" + data[byte : byte + RIGHT]
+                    group = hashlib.blake2b(common, digest_size=8).digest()
+                    held.append((group + data[byte : byte + LENGTH - least], data[byte - most : byte], key, at))
                     if len(held) >= RUN:
                         yield from runs(held, ranges)
                         held = []
@@ -334,8 +431,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
 
         yield from packed(out(), schema, 500)
 
-    dealt = keyed.join(wanted.hint("shuffle_hash"), "_key").select("_key", "_id", "_data", "_at").mapInArrow(sort, "range long, run binary, key long, start long, end long")
-    spans = dealt.groupBy("range").applyInPandas(_settle, "key long, start long, end long")
+    sorted_ = keyed.join(wanted.hint("shuffle_hash"), "_key").select("_key", "_id", "_data", "_at").mapInArrow(sort, "range long, run binary, key long, start long, end long")
+    spans = sorted_.groupBy("range").applyInPandas(_settle, "key long, start long, end long")
     return spans.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
 
 
