@@ -259,9 +259,14 @@ def wav_header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.audio_files(encoded(spark, sf_dir), "stream").select("stream", "container", "format_tag", "channels", "sample_rate", "block_align", "bits_per_sample", "data_pos", "data_size", "total_pcm_frames", "status")
 
 
-@register("wav_container_probe", f"select stream, 'rf64' as container from ({STREAM}) group by stream")
+@register("wav_container_probe", f"select stream, (['riff', 'w64', 'rf64'])[stream % 3 + 1] as container, count(*)::bigint as frames from ({STREAM}) group by stream")
 def wav_container_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(spark, sf_dir, "s16", "rf64").select("stream", T.container_of(C("content")).alias("container"))
+    """Streams in three kinds of containers, told apart by their first bytes, and how many frames each says that it has."""
+    frames = streams(spark, sf_dir).withColumn("samples", F.array("s16"))
+    made = [E.encode_streams(frames.where(C("stream") % 3 == k), "s16", 44100, c) for k, c in enumerate(("riff", "w64", "rf64"))]
+    files = made[0].union(made[1]).union(made[2]).withColumn("probed", T.container_of(C("content")))
+    keyed = files.select(F.struct("stream", "probed").alias("k"), "content")
+    return T.audio_files(keyed, "k").select("k.stream", C("k.probed").alias("container"), C("total_pcm_frames").alias("frames"))
 
 
 @register("wav_limit", f"select stream, frame_idx, 0 as ch, s16 from ({STREAM}) where frame_idx < 10")
@@ -691,9 +696,13 @@ def _tagged(group) -> bytes:
     return b"ID3\x04\0\0\0\0\0\x0a" + bytes(10) + info + head.ljust(417, b"\0") * len(group) + b"APETAGEX" + bytes(24) + b"TAG".ljust(128, b" ")
 
 
-@register("mp3_tags", "select user_id as stream, idx, type, size from (select distinct user_id from events), (values (0, 'id3v1', 128), (1, 'ape', 32), (2, 'id3v2', 20), (3, 'xing', 381)) t(idx, type, size)")
+XING = "'58696E6700000001' || printf('%08X', n) || '4C414D45332E313030' || repeat('00', 12) || printf('%06X', 576*4096 + 1000) || repeat('00', 345)"
+
+
+@register("mp3_tags", f"select user_id as stream, idx, type, octet_length(raw)::int as size, md5(raw) as digest from (select user_id, idx, type, unhex(case idx when 0 then '544147' || repeat('20', 125) when 1 then '4150455441474558' || repeat('00', 24) when 2 then '4944330400000000000A' || repeat('00', 10) else {XING} end) as raw from (select user_id, count(*)::int as n from events group by user_id), (values (0, 'id3v1'), (1, 'ape'), (2, 'id3v2'), (3, 'xing')) t(idx, type))")
 def mp3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.audio_tags(files_of(spark, sf_dir, _tagged), "stream").select("stream", "idx", "type", F.length("raw").alias("size"))
+    """Tags of every stream, with a digest of their bytes."""
+    return T.audio_tags(files_of(spark, sf_dir, _tagged), "stream").select("stream", "idx", "type", F.length("raw").alias("size"), F.md5("raw").alias("digest"))
 
 
 @register("mp3_totals", "select user_id as stream, (count(*)*1152)::bigint as total, 1105 as delay, 471 as padding, greatest(count(*)*1152 - 1105 - 471, 0)::bigint as trimmed, (count(*)*1152)::bigint as counted from events group by user_id")
@@ -772,3 +781,72 @@ def mpeg_decode_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mpeg_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty PCM frames from the thousandth on: decoding starts two MPEG frames before."""
     return T.mpeg_audio(layer1_files(spark, sf_dir), "s16", 1000, 50, key="stream").select("stream", "frame_idx", F.get("samples", F.lit(0)).alias("s16"))
+
+
+# Folders, headers alone, counts and chunks that nothing knows
+
+
+@register("files_listed", f"select stream::varchar || '.wav' as name, (44 + count(*)*2)::bigint as length from ({STREAM}) group by stream")
+def files_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and lengths of the files of a folder and those below it; no content is read."""
+    folder = scratch(spark)
+    frames = streams(spark, sf_dir).withColumn("samples", F.array("s16"))
+    api.write_audio(frames.where("stream % 2 = 0"), folder)
+    api.write_audio(frames.where("stream % 2 = 1"), f"{folder}/below")
+    return api.read_audio(spark, folder, "*.wav", recursive=True).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+
+
+@register("wav_headers_sequential", f"select stream, 136::bigint as data_pos, (count(*)*2)::bigint as data_size, count(*)::bigint as frames, 0::bigint as metadata from ({STREAM}) group by stream")
+def wav_headers_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers read up to the samples, as of a stream that cannot be sought; metadata before them is passed over."""
+
+    def build(group) -> bytes:
+        notes = [{"type": "title", "text": "t" * 71}]
+        return E.encode_wav(E.pack(group["s16"].to_numpy(), "s16"), "s16", 1, 44100, "riff", notes)
+
+    found = T.audio_files(files_of(spark, sf_dir, build), "stream", sequential=True)
+    return found.select("stream", "data_pos", "data_size", C("total_pcm_frames").alias("frames"), F.lit(0).cast("long").alias("metadata"))
+
+
+@register("meta_counts", "select type, count(*)::bigint as n, count(distinct stream)::bigint as streams from (select user_id as stream, unnest(['smpl', 'inst', 'acid', 'bext']) as type from (select distinct user_id from events)) group by type")
+def meta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items of each type there are; their values are never turned into rows."""
+    found = T.audio_metadata(files_of(spark, sf_dir, _described), "stream").select("stream", "type")
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("stream").alias("streams"))
+
+
+def _unknown(group) -> bytes:
+    text = f"stream {int(group['stream'].iloc[0])}".encode()
+    rows = [{"type": "unknown", "id": b"xtra", "raw": text, "location": "before_data"}, {"type": "unknown", "id": b"IXYZ", "raw": text * 2, "location": "info_list"}, {"type": "unknown", "id": b"abcd", "raw": b"", "location": "adtl_list"}]
+    return E.encode_wav(E.pack(group["s16"].to_numpy(), "s16"), "s16", 1, 44100, "riff", rows)
+
+
+@register("meta_unknown", "select user_id as stream, id, location, repeat('stream ' || user_id::varchar, times) as text from (select distinct user_id from events), (values ('xtra', 'before_data', 1), ('IXYZ', 'info_list', 2), ('abcd', 'adtl_list', 0)) t(id, location, times)")
+def meta_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of no known kind, with their bytes and where they lie."""
+    found = T.audio_metadata(files_of(spark, sf_dir, _unknown), "stream", ["unknown"])
+    return found.select("stream", C("id").cast("string").alias("id"), "location", C("raw").cast("string").alias("text"))
+
+
+def _half_floats(group) -> bytes:
+    import struct
+
+    data = E.pack(group["s16"].to_numpy(), "s16")
+    body = b"WAVE" + b"fmt " + struct.pack("<IHHIIHH", 16, 3, 1, 44100, 88200, 2, 16) + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+@register("wav_float_silence", f"select stream, frame_idx, 0::smallint as s16 from ({STREAM})")
+def wav_float_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floats of a width that is neither 4 nor 8 bytes are silence."""
+    return T.audio_frames(files_of(spark, sf_dir, _half_floats), "s16", key="stream").select("stream", "frame_idx", F.get("samples", F.lit(0)).alias("s16"))
+
+
+@register("seek_unbound", f"select user_id as stream, (row_number() over (partition by user_id order by ts, event_id) - 1)*1000 as target, 0::bigint as bound, 0::bigint as start from events where false union all select stream, target, (target >= p)::int::bigint, case when target >= p then first else 0 end from (select q.stream, q.target, p.p, p.first from (select stream, (frame_no*1000)::bigint as target from ({MP3})) q join (select stream, min(pcm_frame_index) as p, min(seek_pos_bytes) as first from ({POINTS}) where point = 1 group by stream) p on p.stream = q.stream)")
+def seek_unbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where reading starts with the first point of an index bound, for targets behind it, and from the start otherwise."""
+    found = once(mp3_frames(spark, sf_dir))
+    index = K.seek_index(found, 8, "stream").where("point = 1").select("stream", "pcm_frame_index", "seek_pos_bytes")
+    targets = found.select("stream", (C("frame_no") * 1000).alias("target"))
+    met = K.asof_backward(targets, index, "stream", "target", "pcm_frame_index")
+    return met.select("stream", "target", C("point").isNotNull().cast("int").cast("long").alias("bound"), F.coalesce(C("point.seek_pos_bytes"), F.lit(0)).alias("start"))
