@@ -191,6 +191,7 @@ def runs(found: list[tuple[bytes, bytes, int, int]], ranges: int) -> Iterator[tu
     """
     found.sort()
     blocks: dict[int, list] = {}
+    copies: dict[int, list[tuple[int, int]]] = {}
     k = 0
     while k < len(found):
         suffix, left, key, at = found[k]
@@ -201,9 +202,12 @@ def runs(found: list[tuple[bytes, bytes, int, int]], ranges: int) -> Iterator[tu
         if settled:
             for _, _, own, place in found[k:n]:
                 byte = place >> 17
-                yield -1 - own % ranges, None, own, byte - len(left), byte + len(suffix) - 8
+                copies.setdefault(own, []).append((byte - len(left), byte + len(suffix) - 8))
         blocks.setdefault(int.from_bytes(suffix[:8]) * ranges >> 64, []).append((suffix, left, settled, key, at))
         k = n
+    for own, spans in copies.items():
+        for start, end in merged_spans(spans):
+            yield -1 - own % ranges, None, own, start, end
     for range_, entries in blocks.items():
         before, lcps, rests, lefts = b"", [], [], []
         for suffix, left, *_ in entries:
