@@ -102,11 +102,13 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     known = ratios(docs, trusted, id_col, text_col, buckets)
     hashed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), word_hashes(F.col(text_col)).alias("_h"))
     total = let(ngram_buckets(F.col("_h"), buckets), lambda b: F.struct(F.size(b).cast("long").alias("n"), F.aggregate(b, F.lit(0).cast("long"), lambda a, i: a + F.get(known, i)).alias("sum")))
-    judged = hashed.select("_id", *(c.alias(n) for n, c in base_statistics(F.col("_text"), F.col("_h")).items()), total.alias("_total"))
+    # A row number is not deterministic, so the optimizer moves no filter on a verdict below this projection, where the
+    # words would be hashed anew for every n-gram of every rule.
+    judged = hashed.select("_id", F.monotonically_increasing_id().alias("_row"), *(c.alias(n) for n, c in base_statistics(F.col("_text"), F.col("_h")).items()), total.alias("_total"))
     failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > 30 * F.col("n_words"))
     score = F.coalesce(F.try_divide(F.col("_total.sum").cast("double"), F.col("_total.n") * SCALE), F.lit(0.0))
-    scored = judged.withColumn("base_failed", failed).withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    return scored.drop("_total").withColumnRenamed("_id", id_col)
+    scored = judged.withColumn("base_failed", F.when(F.col("_row") >= 0, failed)).withColumn("score", F.when(F.col("_row") >= 0, score)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return scored.drop("_total", "_row").withColumnRenamed("_id", id_col)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

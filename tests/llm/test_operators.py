@@ -306,6 +306,8 @@ def test_quality_rules(spark, docs, empty, texts):
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == rules_model(t)
             assert abs(r.score - score(t)) < 1e-5 and r.kept == (not r.base_failed and r.score >= -0.06)
     assert quality_rules.quality_rules(empty, trusted).count() == 0
+    plan = quality_rules.quality_rules(docs, trusted).where("kept")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("monotonically_increasing_id")
     ids = spark.range(3000).selectExpr("if(id = 5, null, id) as _id")
     likely = {r._id for r in quality_rules.with_likely(ids, ids.where("_id % 3 = 0")).where("_likely").collect()}
     assert {i for i in range(0, 3000, 3)} <= likely and None not in likely and len(likely) < 1020
