@@ -44,6 +44,7 @@ def write_audio(frames: DataFrame, path: str, kind: str = "s16", rate: int = 441
 
 
 def register(spark: SparkSession) -> None:
-    """The ``wav`` format and the SQL table functions."""
+    """The ``wav`` format, with the session's setting that lets filters reach it, and the SQL table functions."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WavDataSource)
     tables.register(spark)

@@ -84,10 +84,12 @@ def subbands(frame: bytes, h: Header) -> np.ndarray | None:
     bands, bits = len(choices), np.unpackbits(np.frombuffer(frame, np.uint8))
     bound, at = bound_of(h, bands), 8 * HEADER + (0 if h.bits(16, 1) else 16)
 
+    whole = int.from_bytes(frame, "big")
+
     def read(width: int) -> int:
         nonlocal at
         at += width
-        return int(codes(bits, np.array(at - width), width))
+        return (whole >> len(bits) - at if at <= len(bits) else whole << at - len(bits)) & (1 << width) - 1
 
     levels = np.zeros((bands, channels), np.int64)
     for band, choice in enumerate(choices):

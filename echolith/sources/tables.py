@@ -21,6 +21,8 @@ from echolith.sources.mpeg import frames, open_stream
 from echolith.sources.mpeg_audio import decoded
 from echolith.sources.rows import from_content, pcm_from
 
+#: ADPCM blocks that travel together.
+TOGETHER = 32
 VALUE = {"s16": "smallint", "s32": "int", "f32": "float"}
 FILES = "container string, format_tag int, channels int, sample_rate bigint, avg_bytes bigint, block_align int, bits_per_sample int, valid_bits int, channel_mask bigint, sub_format binary, data_pos bigint, data_size bigint, total_pcm_frames bigint, big_endian boolean, status string"
 CHUNKS = "idx int, id binary, offset bigint, size bigint, padding int"
@@ -198,13 +200,10 @@ def pcm_bytes(df: DataFrame, target: str = "s16", big: bool = False, key: str =
 def adpcm_frames(df: DataFrame, key: str = "path", partitions: int | None = None) -> DataFrame:
     """``key, frame_idx, samples`` of ADPCM files, block by block.
 
-    Every block restates the decoder's state, so the blocks of one long file are dealt out to all tasks.
+    Every block restates the decoder's state, so stretches of blocks of one long file are dealt out to all tasks.
     """
-    known = from_content(df, key, "block_align int, channels int, tag int, frames bigint, data binary", _blocks, size=16)
-    n = F.ceil(F.length("data") / F.col("block_align")).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.call_function("substring", F.col("data"), k * F.col("block_align") + 1, F.col("block_align")))
-    blocks = known.where(F.length("data") > 0).select(key, "block_align", "channels", "tag", "frames", F.posexplode(parts).alias("block", "bytes"))
-    dealt = blocks.repartition(partitions, key, "block") if partitions else blocks.repartition(key, "block")
+    blocks = from_content(df, key, "block_align int, channels int, tag int, frames bigint, block int, bytes binary", _blocks, size=64)
+    dealt = blocks.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "block")
 
     def work(rows: list[dict]) -> Iterator[tuple]:
         formats: dict[tuple, list[dict]] = {}
@@ -212,17 +211,21 @@ def adpcm_frames(df: DataFrame, key: str = "path", partitions: int | None = None
             formats.setdefault((row["tag"], row["channels"], row["block_align"]), []).append(row)
         for (tag, channels, align), own in formats.items():
             a = Audio(format_tag=tag, channels=channels, block_align=align)
-            for row, pcm in zip(own, decode_blocks(a, [r["bytes"] for r in own]), strict=True):
-                at = row["block"] * frames_per_block(a)
+            cut = [(r, k, r["bytes"][k * align : (k + 1) * align]) for r in own for k in range(-(-len(r["bytes"]) // align))]
+            for (row, k, _), pcm in zip(cut, decode_blocks(a, [x[2] for x in cut]), strict=True):
+                at = (row["block"] + k) * frames_per_block(a)
                 yield row[key], at, pcm[: max(0, row["frames"] - at)]
 
-    return pcm_from(dealt, key, "smallint", ("bytes", "block", "block_align", "channels", "tag", "frames"), work, BLOCKS)
+    return pcm_from(dealt, key, "smallint", ("bytes", "block", "block_align", "channels", "tag", "frames"), work, BLOCKS // TOGETHER)
 
 
 def _blocks(content: bytes) -> Iterator[tuple]:
+    """Stretches of ``TOGETHER`` blocks."""
     a = parse(content, metadata=False)
     if a.status == "ok" and a.tag in (headers.MS_ADPCM, headers.IMA_ADPCM):
-        yield a.block_align, a.channels, a.tag, a.total_pcm_frames, content[a.data_pos : a.data_pos + a.data_size]
+        end = a.data_pos + a.data_size
+        for k, at in enumerate(range(a.data_pos, end, TOGETHER * a.block_align)):
+            yield a.block_align, a.channels, a.tag, a.total_pcm_frames, k * TOGETHER, content[at : min(end, at + TOGETHER * a.block_align)]
 
 
 def container_of(content: Column) -> Column:

@@ -4,7 +4,7 @@ Reading: files are cut into byte ranges of ``bytesPerPartition``, and small ones
 tasks read the headers. A frame belongs to the range that holds its first byte (of its block, in ADPCM). Where there are no more
 than ``PLANNED`` files, or ``framesPerPartition`` is given, planning reads the headers too, cuts by frames, and drops the ranges
 that filters on ``frame_idx`` rule out; tasks heed those filters in either case, and filters on ``path`` drop files before
-anything is read (both need ``spark.sql.python.filterPushdown.enabled``). Paths are those that Python
+anything is read (both need ``spark.sql.python.filterPushdown.enabled``, which ``echolith.api.register`` sets). Paths are those that Python
 can open on every worker; contents in other stores go through ``binaryFile`` and ``echolith.sources.tables``.
 
 Writing: rows ``stream, frame_idx, samples`` become one file a stream, which must lie in one partition
@@ -65,7 +65,8 @@ def head_of(path: str) -> Audio:
 
 class WavReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = sorted(p for part in options["path"].split(",") for p in (glob.glob(f"{part}/*") if os.path.isdir(part) else glob.glob(part)) if os.path.isfile(p))
+        found = (p for part in options["path"].split(",") for p in (glob.glob(f"{glob.escape(part)}/[!_.]*") if os.path.isdir(part) else glob.glob(part)))
+        self.paths = sorted(p for p in found if os.path.isfile(p))
         self.target, self.step = options.get("target", "s16"), int(options.get("framesperpartition", 0))
         self.bytes = int(options.get("bytesperpartition", 32 << 20))
         self.low, self.high, self.wanted = 0, None, None
