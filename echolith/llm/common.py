@@ -41,9 +41,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back."""
+    """The rows as a Parquet table in the shared folder, read back. Small row groups keep what a writing task holds small."""
     path = path or new_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
