@@ -16,7 +16,7 @@ import pytest
 
 import __spark_entry__
 from echolith.llm import url_filter
-from tests.llm.test_operators import bytes_model, fingerprint_model, judge_model, linked_model, mix_model, prose, rules_model
+from tests.llm.test_operators import best_shares, bytes_model, fingerprint_model, judge_model, linked_model, mix_model, prose, rules_model, sentence_model, spans_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SECRET = "password=correcthorsebattery"
@@ -105,6 +105,25 @@ def answer(spark, tables, name, key="doc_id"):
     return {r[key]: r for r in rows}
 
 
+def test_op1(spark, tables):
+    got = answer(spark, tables, "op1_")
+    gone = spans_model([(i, t) for i, t, *_ in tables[1]])
+    for i, t, *_ in tables[1]:
+        units, cut = ([], set()) if t is None else (sentence_model(t), gone[i, t])
+        assert (got[i].n_sentences, got[i].n_removed) == (len(units), len(cut))
+        assert got[i].text == t if not cut else got[i].text.split() == [w for k, ws in enumerate(units) if k not in cut for w in ws]
+    assert sum(len(x) for x in gone.values()) > 10
+
+
+def test_op7(spark, tables):
+    """All pairs of a document and an item, aligned whole."""
+    full = next(n for n in __spark_entry__.queries() if n.startswith("op7_"))
+    rows = __spark_entry__.queries()[full](spark, tables[0]).collect()
+    items = [re.findall(r"[^\W_]+", x.lower()) for x in tables[2]]
+    want = {(i, k): s for i, t, *_ in tables[1] for k, s in best_shares(re.findall(r"[^\W_]+", (t or "").lower()), items).items() if s >= 0.5}
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == want and len(rows) == len(want) >= 2
+
+
 def test_op2(spark, tables):
     got = answer(spark, tables, "op2_")
     sizes, target = mix_model([(i, t, s) for i, t, _, s, _ in tables[1]])
