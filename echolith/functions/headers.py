@@ -38,10 +38,11 @@ def frames_ima_adpcm(data_size: Column, block_align: Column, channels: Column) -
     return (F.floor((data_size - blocks * 4 * channels) * 2 / channels) + blocks).cast("long")
 
 
-def repaired_data_size(data_size: Column, data_pos: Column, file_size: Column, frame_size: Column) -> Column:
-    """Clamped to the file, and rounded down to whole frames; 0xFFFFFFFF reaches to the end."""
+def repaired_data_size(data_size: Column, data_pos: Column, file_size: Column, frame_size: Column, container: Column | str = "riff") -> Column:
+    """Clamped to the file, and rounded down to whole frames; 0xFFFFFFFF reaches to the end in RIFF and RIFX, and is a size elsewhere."""
+    container = F.lit(container) if isinstance(container, str) else container
     there = F.greatest(file_size - data_pos, F.lit(0))
-    size = F.when(data_size == 0xFFFFFFFF, there).otherwise(F.least(data_size, there))
+    size = F.when((data_size == 0xFFFFFFFF) & container.isin("riff", "rifx"), there).otherwise(F.least(data_size, there))
     return (size - size % frame_size).cast("long")
 
 

@@ -4,11 +4,13 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from echolith.functions.headers import repaired_data_size
 from echolith.operators.encode import CONTAINERS, encode_wav, pack
 from echolith.sources import codecs
 from echolith.sources.codecs import decode, frames_per_block
-from echolith.sources.containers import Audio, extended, parse
+from echolith.sources.containers import Audio, _finish, extended, parse
 from echolith.sources.tables import adpcm_frames, audio_files, audio_frames, audio_metadata, audio_samples, read_files, register
 
 RAMP = np.arange(-60, 60, dtype=np.int64)
@@ -89,6 +91,21 @@ def test_header_oddities():
     assert decode(audio, c, "f32").ravel().tolist() == (RAMP / 64).astype(np.float32).tolist()
 
 
+def test_size_repair_is_that_of_the_parser(spark):
+    """On files beyond 4 GiB too, where 0xFFFFFFFF reaches to the end in RIFF and RIFX only."""
+    rows = [(c, said, 44, size, 4) for c in (*CONTAINERS, "rifx", "aiff") for said in (0, 1001, 0xFFFFFFFE, 0xFFFFFFFF, 2**32, 2**33) for size in (0, 44, 1000, 2**32 + 42, 2**32 + 43, 2**32 + 44, 5 * 2**30 + 3)]
+    want = []
+    for container, said, at, size, _ in rows:
+        _finish(audio := Audio(container=container, format_tag=1, channels=2, sample_rate=8000, bits_per_sample=16, block_align=4, data_pos=at, data_size=said), size)
+        want.append(audio.data_size)
+    said, at, size, frame, container = (F.col(c) for c in ("said", "at", "size", "frame", "container"))
+    table = spark.createDataFrame([(*r, w) for r, w in zip(rows, want)], "container string, said bigint, at bigint, size bigint, frame int, want bigint")
+    assert table.where(~repaired_data_size(said, at, size, frame, container).eqNullSafe(F.col("want"))).count() == 0
+    for name in ("riff", "w64"):
+        assert table.where(container == name).where(~repaired_data_size(said, at, size, frame, name).eqNullSafe(F.col("want"))).count() == 0
+    assert {w for r, w in zip(rows, want) if r[1] == 0xFFFFFFFF and r[3] == 5 * 2**30 + 3} == {5 * 2**30 - 44, 2**32 - 4}
+
+
 def test_malformed_bytes_have_a_status():
     good = encode_wav(pack(RAMP, "s16"), "s16", 2, 8000, "riff", [{"type": "title", "text": "t"}])
     w64 = encode_wav(pack(RAMP, "s16"), "s16", 2, 8000, "w64")
